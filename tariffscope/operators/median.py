@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 ACCURACY = 10000
 
-_BELOW, _WITHIN, _ABOVE = -1, 0, 1
+_BELOW, _WITHIN, _ABOVE, _MISSING = -1, 0, 1, 2
 
 
 def bracket(value: Column, accuracy: int = ACCURACY) -> Column:
@@ -31,58 +31,52 @@ def bracket(value: Column, accuracy: int = ACCURACY) -> Column:
 
 def _zone(value: Column, within: Column) -> Column:
     return (
-        F.when(value < within["lo"], _BELOW).when(value > within["hi"], _ABOVE).otherwise(_WITHIN)
+        F.when(value.isNull(), _MISSING)
+        .when(value < within["lo"], _BELOW)
+        .when(value > within["hi"], _ABOVE)
+        .otherwise(_WITHIN)
     )
 
 
-def _pick(zoned: DataFrame, by: list[str]) -> DataFrame:
-    """From (by, zone, value, n) to (by, median)."""
+def _pick(zoned: DataFrame, by: list[str], carried: list[str]) -> DataFrame:
+    """From (by, carried, n, zone, value) to (by, carried, median)."""
+    groups = [*by, *carried, "n"]
     counted = zoned.groupBy(
-        *by, "n", "zone", F.when(F.col("zone") == _WITHIN, F.col("value")).alias("value")
+        *groups, "zone", F.when(F.col("zone") == _WITHIN, F.col("value")).alias("value")
     ).agg(F.count("*").alias("rows"))
     order = (
         Window.partitionBy(*by)
         .orderBy("zone", "value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = counted.withColumn("last_rank", F.sum("rows").over(order)).withColumn(
-        "first_rank", F.col("last_rank") - F.col("rows") + 1
+    ranked = counted.withColumn("last_rank", F.sum("rows").over(order))
+    picked = ranked.groupBy(*groups).agg(
+        *(
+            F.expr(
+                f"max(CASE WHEN zone = {_WITHIN} AND {rank} > last_rank - rows"
+                f" AND {rank} <= last_rank THEN value END)"
+            ).alias(name)
+            for name, rank in (("lower", "(n + 1) div 2"), ("upper", "(n + 2) div 2"))
+        )
     )
-    lower_rank, upper_rank = F.expr("(n + 1) div 2"), F.expr("(n + 2) div 2")
-
-    def holds(rank: Column) -> Column:
-        return (F.col("first_rank") <= rank) & (rank <= F.col("last_rank"))
-
-    within = F.when(F.col("zone") == _WITHIN, F.col("value"))
-    picked = ranked.groupBy(*by).agg(
-        F.max(F.when(holds(lower_rank), within)).alias("lower"),
-        F.max(F.when(holds(upper_rank), within)).alias("upper"),
+    median = F.expr(
+        "CASE WHEN lower IS NOT NULL AND upper IS NOT NULL THEN (lower + upper) / 2"
+        " WHEN n > 0 THEN CAST(raise_error('the median lies outside its bracket') AS DOUBLE) END"
     )
-    missed = F.raise_error(F.lit("the median lies outside its bracket"))
-    median = F.when(
-        F.col("lower").isNotNull() & F.col("upper").isNotNull(),
-        (F.col("lower") + F.col("upper")) / 2,
-    ).otherwise(missed)
-    return picked.select(*by, median.alias("median"))
+    return picked.select(*by, *carried, median.alias("median"))
 
 
-def medians_within(rows: DataFrame, brackets: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, median) for each group of ``brackets``, a frame of (by, bracket).
+def medians_within(rows: DataFrame, groups: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``groups`` with the exact median of its rows' values in place of its bracket.
 
-    ``brackets`` holds one row per group; broadcast it where its size is known to be small.
-    Groups without a value are absent.
+    ``groups`` holds one row per group: ``by``, ``bracket``, and any columns to carry
+    along; broadcast it where its size is known to be small.  The median of a group
+    without values is NULL.
     """
-    return _pick(
-        rows.filter(F.col(value).isNotNull())
-        .join(brackets, by)
-        .select(
-            *by,
-            F.col("bracket.n").alias("n"),
-            _zone(F.col(value), F.col("bracket")).alias("zone"),
-            F.col(value).alias("value"),
-        ),
-        by,
-    )
+    carried = [c for c in groups.columns if c not in (*by, "bracket")]
+    zoned = rows.select(*by, F.col(value).alias("value")).join(groups, by)
+    zoned = zoned.withColumn("zone", _zone(F.col("value"), F.col("bracket")))
+    return _pick(zoned.withColumn("n", F.col("bracket.n")), by, carried)
 
 
 def global_median(rows: DataFrame, value: str, accuracy: int = ACCURACY) -> DataFrame:
@@ -90,6 +84,9 @@ def global_median(rows: DataFrame, value: str, accuracy: int = ACCURACY) -> Data
     values = rows.filter(F.col(value).isNotNull()).select(F.col(value).alias("value"))
     within = values.select(bracket(F.col("value"), accuracy).alias("bracket")).scalar()
     zoned = values.select(
-        within["n"].alias("n"), _zone(F.col("value"), within).alias("zone"), "value"
-    ).withColumn("all", F.lit(1))
-    return _pick(zoned, ["all"]).agg(F.max("median").alias("median"))
+        F.lit(1).alias("all"),
+        within["n"].alias("n"),
+        _zone(F.col("value"), within).alias("zone"),
+        "value",
+    )
+    return _pick(zoned, ["all"], []).agg(F.max("median").alias("median"))

@@ -8,6 +8,7 @@ from ..functions.flags import is_comparable, is_set, is_true_text
 from ..functions.rounding import half_even, percent
 from ..operators import per_entity
 from ..operators.median import bracket, medians_within
+from ..operators.ordering import in_order
 from ..sources.catalogue import Catalogue
 
 
@@ -76,7 +77,7 @@ def entity_mart(
             "website_url", "detail_url",
         )
     )
-    return mart.orderBy("name", "entity_id") if ordered else mart
+    return in_order(mart, ordered, "name", "entity_id")
 
 
 def comparable_price():
@@ -100,15 +101,9 @@ def category_summary(mart: DataFrame, few_categories: bool = False) -> DataFrame
         F.avg("price").alias("avg_entry_price"),
         bracket(F.col("price")).alias("bracket"),
     )
-    brackets = groups.select("category_slug", "bracket")
-    medians = medians_within(
-        known.select("category_slug", "price"),
-        F.broadcast(brackets) if few_categories else brackets,
-        ["category_slug"],
-        "price",
-    )
+    groups = F.broadcast(groups) if few_categories else groups
     return (
-        groups.join(medians, "category_slug", "left")
+        medians_within(known, groups, by, "price")
         .select(
             *by,
             "product_count",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.rounding import half_up, percent
+from ..operators.ordering import in_order
 from ..operators.per_entity import entity_keys
 from ..sources.catalogue import Catalogue
 from ..sources.roles import ROLES
@@ -70,18 +71,19 @@ def year_outliers(c: Catalogue, first=fixed.FOUNDED_YEARS[0], last=fixed.FOUNDED
     )
 
 
-def custom_offers(c: Catalogue) -> DataFrame:
+def custom_offers(c: Catalogue, ordered: bool = True) -> DataFrame:
     """Offers without a price, with their entity's name.
 
     The sort ends on the offer's id, so an entity with very many offers is still
     divided over several tasks.
     """
-    return (
+    offers = (
         c.offer.filter(F.col("price_monthly").isNull())
         .select("offer_id", "entity_id", "plan_name", "price_monthly", "billing_model")
         .join(c.entity.select("entity_id", "name"), "entity_id")
-        .orderBy("name", "offer_id")
-        .select("name", "plan_name", "price_monthly", "billing_model")
+    )
+    return in_order(offers, ordered, "name", "offer_id").select(
+        "name", "plan_name", "price_monthly", "billing_model"
     )
 
 

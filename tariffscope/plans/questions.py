@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fixed
 from ..functions.flags import is_set, is_true_text
 from ..functions.rounding import half_up, percent, ratio
+from ..operators.ordering import in_order
 from ..operators.per_entity import entry_prices, true_attribute_counts
 from ..sources.catalogue import Catalogue
 
@@ -96,7 +97,7 @@ def top_rated(c: Catalogue, limit: int = 10) -> DataFrame:
     )
 
 
-def category_leaders(c: Catalogue) -> DataFrame:
+def category_leaders(c: Catalogue, ordered: bool = True) -> DataFrame:
     """All entities that share the best rating of their category.
 
     The best ratings are joined back to the rows, so that the leaders of a category,
@@ -109,21 +110,21 @@ def category_leaders(c: Catalogue) -> DataFrame:
         ),
     )
     best = rated.groupBy("category_id").agg(F.max("overall_rating").alias("overall_rating"))
-    return (
-        rated.join(c.per_category(best), ["category_id", "overall_rating"])
-        .orderBy(F.desc("overall_rating"), "entity_id")
-        .select("category", F.col("name").alias("top_product"), "overall_rating")
+    leaders = rated.join(c.per_category(best), ["category_id", "overall_rating"])
+    return in_order(leaders, ordered, F.desc("overall_rating"), "entity_id").select(
+        "category", F.col("name").alias("top_product"), "overall_rating"
     )
 
 
-def attributes_vs_price(c: Catalogue) -> DataFrame:
+def attributes_vs_price(c: Catalogue, ordered: bool = True) -> DataFrame:
     """True-attribute count and entry price of each entity that has both."""
-    return (
+    both = (
         true_attribute_counts(c.attribute)
         .join(entry_prices(c.offer), "entity_id")
         .join(c.entity.select("entity_id", "name"), "entity_id")
-        .orderBy(F.desc("feature_count"), "entity_id")
-        .select("name", "feature_count", "entry_price")
+    )
+    return in_order(both, ordered, F.desc("feature_count"), "entity_id").select(
+        "name", "feature_count", "entry_price"
     )
 
 

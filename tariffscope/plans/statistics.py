@@ -1,6 +1,6 @@
 """Statistics over the marts.  Each is one small aggregate of the entity mart."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
@@ -70,7 +70,8 @@ def rating_anova(
 ) -> DataFrame:
     """Does the mean rating differ between categories?  One-way analysis of variance.
 
-    Rows are reduced to size, mean and variance per category; all else works on these.
+    Rows are reduced to size, mean and variance per category; the rest works on these
+    few, which is why a window over all of them is fine.
     """
     groups = (
         mart.dropna(subset=["category_slug", "overall_rating"])
@@ -82,9 +83,10 @@ def rating_anova(
         )
         .filter(F.col("n") >= min_rated)
     )
-    grand_mean = groups.agg(
-        ratio(F.sum(F.col("n") * F.col("mean")), F.sum("n"))
-    ).scalar()
+    together = Window.partitionBy(F.lit(1))
+    grand_mean = ratio(
+        F.sum(F.col("n") * F.col("mean")).over(together), F.sum("n").over(together)
+    )
     deviation = F.col("mean") - grand_mean
     squares = (
         groups.withColumn("between", F.col("n") * deviation * deviation)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.flags import is_set
 from ..functions.rounding import half_up, percent, ratio
+from ..operators.ordering import in_order
 from ..operators.per_entity import entry_prices_with_ties
 from ..sources.catalogue import Catalogue
 
@@ -43,31 +44,29 @@ def category_stats(c: Catalogue, dedupe: bool = False) -> DataFrame:
     )
 
 
-def category_offers(c: Catalogue, slug: str = "llm") -> DataFrame:
+def category_offers(c: Catalogue, slug: str = "llm", ordered: bool = True) -> DataFrame:
     """All offers of one category by price, those without a price first."""
     chosen = c.category.filter(F.col("slug") == slug).select("category_id")
     members = c.entity.select(
         "entity_id", "category_id", "name", "slug", "overall_rating", "has_free_tier"
     ).join(c.per_category(chosen), "category_id")
-    return (
-        c.offer.select("offer_id", "entity_id", "plan_name", "price_monthly", "billing_model")
-        .join(members, "entity_id")
-        .orderBy(F.asc_nulls_first("price_monthly"), "offer_id")
-        .select(
-            "name", "slug", "overall_rating", "has_free_tier",
-            "plan_name", "price_monthly", "billing_model",
-        )
+    offers = c.offer.select(
+        "offer_id", "entity_id", "plan_name", "price_monthly", "billing_model"
+    ).join(members, "entity_id")
+    return in_order(offers, ordered, F.asc_nulls_first("price_monthly"), "offer_id").select(
+        "name", "slug", "overall_rating", "has_free_tier",
+        "plan_name", "price_monthly", "billing_model",
     )
 
 
-def free_entities(c: Catalogue) -> DataFrame:
+def free_entities(c: Catalogue, ordered: bool = True) -> DataFrame:
     """Entities with a free tier by rating, unrated ones last."""
     names = c.category.select("category_id", F.col("name").alias("category"))
-    return (
-        c.entity.filter(is_set(F.col("has_free_tier")))
-        .join(c.per_category(names), "category_id")
-        .orderBy(F.desc_nulls_last("overall_rating"), "entity_id")
-        .select("name", "slug", "category", "overall_rating", "detail_url")
+    free = c.entity.filter(is_set(F.col("has_free_tier"))).join(
+        c.per_category(names), "category_id"
+    )
+    return in_order(free, ordered, F.desc_nulls_last("overall_rating"), "entity_id").select(
+        "name", "slug", "category", "overall_rating", "detail_url"
     )
 
 

@@ -10,7 +10,7 @@ SETTINGS = {
     # Split an over-full join partition even where that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Start from many shuffle partitions; adaptive execution merges the small ones.
-    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4000",
+    "spark.sql.shuffle.partitions": "4000",
 }
 
 

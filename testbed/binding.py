@@ -21,118 +21,113 @@ BILLING_MODELS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW", "6-NEVER")
 CLEANING = {"umbrella": UMBRELLA, "name_fixes": NAME_FIXES}
 
 
+# Schemas are declared: inferring them would run a job per table.
+_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+}
+
+_LEAF_COLUMNS = (
+    "CAST(n_nationkey AS BIGINT) AS category_id",
+    "lower(replace(r_name, ' ', '_') || '-' || n_name) AS slug",
+    "n_name AS name",
+    # The stated count is wrong for every sixth nation.
+    "coalesce(customers, 0) - CASE WHEN n_nationkey % 6 = 0 THEN 1 ELSE 0 END AS product_count",
+)
+_UMBRELLA_COLUMNS = (
+    "CAST(-1 AS BIGINT) AS category_id",
+    "lower(r_name) AS slug",
+    "initcap(r_name) AS name",
+    "coalesce(customers, 0) AS product_count",
+)
+_ENTITY_COLUMNS = (
+    "c_custkey AS entity_id",
+    "lower(c_name) AS slug",
+    "c_name AS name",
+    "CAST(c_nationkey AS BIGINT) AS category_id",
+    "c_acctbal / 2000 AS g2_rating",
+    "CASE WHEN c_acctbal >= 0 THEN 5 - c_acctbal / 2000 END AS capterra_rating",
+    "CASE WHEN c_acctbal >= 0 THEN c_acctbal / 2000 END AS overall_rating",
+    "CAST(0 AS BIGINT) AS review_count",
+    "CAST(CASE WHEN c_custkey % 50 <> 0 THEN 1980 + c_custkey % 50 END AS INT) AS founded_year",
+    "c_mktsegment AS hq_location",
+    "c_mktsegment IN ('BUILDING', 'FURNITURE', 'HOUSEHOLD') AS has_free_tier",
+    "c_mktsegment = 'MACHINERY' AS has_free_trial",
+    "'https://example.org/' || c_custkey AS website_url",
+    "'/tools/' || lower(c_name) AS detail_url",
+)
+_OFFER_COLUMNS = (
+    "o_orderkey AS offer_id",
+    # One customer in forty passes their orders on to the one before, and has none.
+    "CASE WHEN o_custkey % 40 = 7 THEN o_custkey - 1 ELSE o_custkey END AS entity_id",
+    "o_orderstatus AS plan_name",
+    "CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderpriority = '5-LOW' THEN 0D "
+    "ELSE o_totalprice / 1000 END AS price_monthly",
+    "o_totalprice / 100 AS price_annual",
+    "o_orderpriority AS billing_model",
+    "'USD' AS currency",
+    "'[\"' || o_orderpriority || '\"]' AS features",
+)
+_ATTRIBUTE_COLUMNS = (
+    "event_id AS attribute_id",
+    "user_id AS entity_id",
+    "event_type || '_' || (event_id % 5) AS feature_name",
+    "CASE event_id % 4 WHEN 0 THEN 'True' WHEN 1 THEN 'true' WHEN 2 THEN 'False' ELSE 'n/a' END "
+    "AS feature_value",
+    "event_type AS category",
+)
+_PRICE_LOG_COLUMNS = (
+    "o_orderkey AS log_id",
+    "o_custkey AS entity_id",
+    "CAST(o_orderdate AS DATE) AS recorded_date",
+    "o_orderstatus AS plan_name",
+    "o_totalprice / 1000 AS price",
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _category(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bool]:
-    """Categories, and whether the tables that bound their number were found small."""
-    nation, region, customer = (table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
-    small = is_small(nation) and is_small(region)
+def _category(nation: DataFrame, region: DataFrame, customer: DataFrame, small: bool) -> DataFrame:
+    """Categories.  Their number is bounded by nations and regions, so if these two tables
+    were found small, joining them is broadcast; the counts of customers are left joins
+    on unique keys, which Spark drops where no count is asked for."""
     bounded = F.broadcast if small else lambda df: df
-
-    located = nation.join(bounded(region), F.col("n_regionkey") == F.col("r_regionkey"))
-    key = F.col("n_nationkey")
-    drift = F.when(key % 6 == 0, 1).otherwise(0)
     customers = customer.groupBy("c_nationkey").agg(F.count("*").alias("customers"))
-    leaves = located.join(customers, key == F.col("c_nationkey"), "left").select(
-        key.cast("bigint").alias("category_id"),
-        F.lower(
-            F.concat(F.regexp_replace("r_name", " ", "_"), F.lit("-"), F.col("n_name"))
-        ).alias("slug"),
-        F.col("n_name").alias("name"),
-        (F.coalesce("customers", F.lit(0)) - drift).alias("product_count"),
-    )
-
+    leaves = nation.join(
+        bounded(region), nation["n_regionkey"] == region["r_regionkey"]
+    ).join(customers, F.expr("n_nationkey = c_nationkey"), "left")
     per_region = (
-        customers.join(bounded(nation), F.col("c_nationkey") == key)
-        .groupBy(F.col("n_regionkey").alias("key"))
+        customers.join(bounded(nation), F.expr("c_nationkey = n_nationkey"))
+        .groupBy("n_regionkey")
         .agg(F.sum("customers").alias("customers"))
     )
-    umbrella = (
-        region.filter(F.lower("r_name") == UMBRELLA)
-        .join(per_region, F.col("r_regionkey") == F.col("key"), "left")
-        .select(
-            F.lit(-1).cast("bigint").alias("category_id"),
-            F.lower("r_name").alias("slug"),
-            F.initcap("r_name").alias("name"),
-            F.coalesce("customers", F.lit(0)).alias("product_count"),
-        )
-    )
-    return leaves.unionByName(umbrella), small
-
-
-def _entity(customer: DataFrame) -> DataFrame:
-    rating, key = F.col("c_acctbal") / 2000, F.col("c_custkey")
-    return customer.select(
-        key.alias("entity_id"),
-        F.lower("c_name").alias("slug"),
-        F.col("c_name").alias("name"),
-        F.col("c_nationkey").cast("bigint").alias("category_id"),
-        rating.alias("g2_rating"),
-        F.when(F.col("c_acctbal") >= 0, 5 - rating).alias("capterra_rating"),
-        F.when(F.col("c_acctbal") >= 0, rating).alias("overall_rating"),
-        F.lit(0).cast("bigint").alias("review_count"),
-        F.when(key % 50 != 0, 1980 + key % 50).cast("int").alias("founded_year"),
-        F.col("c_mktsegment").alias("hq_location"),
-        F.col("c_mktsegment").isin("BUILDING", "FURNITURE", "HOUSEHOLD").alias("has_free_tier"),
-        (F.col("c_mktsegment") == "MACHINERY").alias("has_free_trial"),
-        F.concat(F.lit("https://example.org/"), key.cast("string")).alias("website_url"),
-        F.concat(F.lit("/tools/"), F.lower("c_name")).alias("detail_url"),
-    )
-
-
-def _offer(orders: DataFrame) -> DataFrame:
-    """Offers of every order; one customer in forty passes theirs on to the one before."""
-    customer = F.col("o_custkey")
-    price = (
-        F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("double"))
-        .when(F.col("o_orderpriority") == "5-LOW", F.lit(0.0))
-        .otherwise(F.col("o_totalprice") / 1000)
-    )
-    return orders.select(
-        F.col("o_orderkey").alias("offer_id"),
-        F.when(customer % 40 == 7, customer - 1).otherwise(customer).alias("entity_id"),
-        F.col("o_orderstatus").alias("plan_name"),
-        price.alias("price_monthly"),
-        (F.col("o_totalprice") / 100).alias("price_annual"),
-        F.col("o_orderpriority").alias("billing_model"),
-        F.lit("USD").alias("currency"),
-        F.concat(F.lit('["'), "o_orderpriority", F.lit('"]')).alias("features"),
-    )
-
-
-def _attribute(events: DataFrame) -> DataFrame:
-    key = F.col("event_id")
-    spelling = F.when(key % 4 == 0, "True").when(key % 4 == 1, "true").when(key % 4 == 2, "False")
-    return events.select(
-        key.alias("attribute_id"),
-        F.col("user_id").alias("entity_id"),
-        F.concat("event_type", F.lit("_"), (key % 5).cast("string")).alias("feature_name"),
-        spelling.otherwise("n/a").alias("feature_value"),
-        F.col("event_type").alias("category"),
-    )
-
-
-def _price_log(orders: DataFrame) -> DataFrame:
-    return orders.select(
-        F.col("o_orderkey").alias("log_id"),
-        F.col("o_custkey").alias("entity_id"),
-        F.col("o_orderdate").cast("date").alias("recorded_date"),
-        F.col("o_orderstatus").alias("plan_name"),
-        (F.col("o_totalprice") / 1000).alias("price"),
+    umbrella = region.filter(F.lower("r_name") == UMBRELLA).join(
+        per_region, F.expr("r_regionkey = n_regionkey"), "left"
     )
+    return leaves.selectExpr(*_LEAF_COLUMNS).unionByName(umbrella.selectExpr(*_UMBRELLA_COLUMNS))
 
 
 def bind(spark: SparkSession, sf_dir: str) -> Catalogue:
-    category, small = _category(spark, sf_dir)
-    orders = table(spark, sf_dir, "orders")
+    nation, region, customer, orders, events = (
+        table(spark, sf_dir, name) for name in ("nation", "region", "customer", "orders", "events")
+    )
+    small = is_small(nation) and is_small(region)
     return Catalogue(
-        category=category,
-        entity=_entity(table(spark, sf_dir, "customer")),
-        offer=_offer(orders),
-        attribute=_attribute(table(spark, sf_dir, "events")),
-        price_log=_price_log(orders),
+        category=_category(nation, region, customer, small),
+        entity=customer.selectExpr(*_ENTITY_COLUMNS),
+        offer=orders.selectExpr(*_OFFER_COLUMNS),
+        attribute=events.selectExpr(*_ATTRIBUTE_COLUMNS),
+        price_log=orders.selectExpr(*_PRICE_LOG_COLUMNS),
         category_is_small=small,
     )
 

@@ -54,7 +54,6 @@ def mismatch(spark: SparkSession, connection, name: str, sf_dir: str) -> str | N
 def main(sf_dir: str, names: list[str]) -> int:
     spark = build_session(
         "check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
-        spark__sql__adaptive__coalescePartitions__initialPartitionNum="8",
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection = oracle_connection(sf_dir)

@@ -41,10 +41,6 @@ def _on_summary(plan: Callable[..., DataFrame], **options) -> Query:
     return lambda spark, sf_dir: plan(_summary(b.bind(spark, sf_dir)), **options)
 
 
-def _on_offers(plan: Callable[..., DataFrame], **options) -> Query:
-    return lambda spark, sf_dir: plan(marts.offers_enriched(b.bind(spark, sf_dir)), **options)
-
-
 QUERIES: dict[str, Query] = {
     # Data-quality audit
     "dq_table_row_counts": _on_catalogue(quality.table_row_counts),
@@ -105,11 +101,11 @@ QUERIES: dict[str, Query] = {
     "stat_price_histogram": _on_mart(statistics.price_histogram),
     "stat_price_rating_line": _on_mart(statistics.price_rating_line),
     "value_top5": _on_mart(statistics.value_leaders),
-    "billing_share": _on_offers(statistics.billing_share),
+    "billing_share": _on_catalogue(lambda c: statistics.billing_share(c.offer)),
     # Boards
     "entity_board": _on_mart(boards.entity_board),
-    "offer_board": _on_offers(boards.offer_board),
+    "offer_board": _on_catalogue(lambda c: boards.offer_board(marts.offers_enriched(c))),
     "category_board": _on_mart(boards.category_board),
-    "billing_board": _on_offers(boards.billing_board, models=b.BILLING_MODELS),
+    "billing_board": _on_catalogue(lambda c: boards.billing_board(c.offer, b.BILLING_MODELS)),
     "kpi_board": _on_mart(boards.kpi_board),
 }
