@@ -16,17 +16,23 @@ def equal_width_histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
     span = values.agg((least - widened).alias("lo"), (most + widened).alias("hi")).select(
         F.struct("lo", ((F.col("hi") - F.col("lo")) / bins).alias("width")).alias("span")
     )
-    at = span.scalar()
-    position = F.floor((F.col("value") - at["lo"]) / at["width"])
+    # Named once on each side: each use of a scalar subquery would plan it again.
+    lo, width = F.col("span.lo"), F.col("span.width")
+    position = F.floor((F.col("value") - lo) / width)
     counts = (
-        values.select(F.least(position, F.lit(bins - 1)).alias("bin"))
+        values.withColumn("span", span.scalar())
+        .select(F.least(position, F.lit(bins - 1)).alias("bin"))
         .groupBy("bin")
         .agg(F.count("*").alias("count"))
     )
-    edges = rows.sparkSession.range(bins).select(
-        F.col("id").alias("bin"),
-        (at["lo"] + F.col("id") * at["width"]).alias("lo"),
-        (at["lo"] + (F.col("id") + 1) * at["width"]).alias("hi"),
+    edges = (
+        rows.sparkSession.range(bins)
+        .select(F.col("id").alias("bin"), span.scalar().alias("span"))
+        .select(
+            "bin",
+            (lo + F.col("bin") * width).alias("lo"),
+            (lo + (F.col("bin") + 1) * width).alias("hi"),
+        )
     )
     return (
         edges.join(counts, "bin", "left")

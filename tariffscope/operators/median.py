@@ -83,10 +83,12 @@ def global_median(rows: DataFrame, value: str, accuracy: int = ACCURACY) -> Data
     """One row (median), NULL where there is no value."""
     values = rows.filter(F.col(value).isNotNull()).select(F.col(value).alias("value"))
     within = values.select(bracket(F.col("value"), accuracy).alias("bracket")).scalar()
-    zoned = values.select(
+    # Named once: each use of a scalar subquery would plan it again.
+    bracketed = values.withColumn("bracket", within)
+    zoned = bracketed.select(
         F.lit(1).alias("all"),
-        within["n"].alias("n"),
-        _zone(F.col("value"), within).alias("zone"),
+        F.col("bracket.n").alias("n"),
+        _zone(F.col("value"), F.col("bracket")).alias("zone"),
         "value",
     )
     return _pick(zoned, ["all"], []).agg(F.max("median").alias("median"))

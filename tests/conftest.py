@@ -1,0 +1,127 @@
+import datetime
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from tariffscope.session import build_session, ensure_checkpoint_dir  # noqa: E402
+from tariffscope.sources.catalogue import catalogue_of  # noqa: E402
+from tariffscope.sources.roles import ROLES  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = build_session(
+        "tests",
+        "local[4]",
+        spark__sql__shuffle__partitions="4",
+        spark__ui__enabled="false",
+        spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
+        spark__driver__memory="2g",
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    ensure_checkpoint_dir(session, str(tmp_path_factory.mktemp("checkpoints")))
+    yield session
+    session.stop()
+
+
+def rows_of(df, *columns):
+    """The rows as tuples, in the frame's order."""
+    return [tuple(r) for r in (df.select(*columns) if columns else df).collect()]
+
+
+def role_frame(spark, role, rows):
+    """Rows given as dicts; absent columns are missing values."""
+    names = ROLES[role].names
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], ROLES[role].schema)
+
+
+def numbered(key, rows):
+    return [{key: i, **row} for i, row in enumerate(rows, start=1)]
+
+
+CATEGORIES = [
+    {"category_id": 1, "slug": "ai-tools", "name": "AI Tools", "product_count": 4},
+    {"category_id": 2, "slug": "llm", "name": "Large Models", "product_count": 2},
+    {"category_id": 3, "slug": "ai-image", "name": "AI Image", "product_count": 2},
+    {"category_id": 4, "slug": "crm", "name": "Crm", "product_count": 7},
+    {"category_id": 5, "slug": "dex", "name": "Dex", "product_count": 1},
+]
+
+# Two entities share the name Twin; 8 has no category; 5 and 9 have no offers.
+ENTITIES = [
+    {"entity_id": 1, "slug": "a", "name": "Alpha", "category_id": 2, "overall_rating": 4.5,
+     "g2_rating": 4.5, "capterra_rating": 4.5, "founded_year": 2012, "has_free_tier": True},
+    {"entity_id": 2, "slug": "b", "name": "Beta", "category_id": 2, "overall_rating": 4.5,
+     "g2_rating": 5.5, "founded_year": 1985, "has_free_tier": False},
+    {"entity_id": 3, "slug": "c", "name": "Twin", "category_id": 3, "overall_rating": None,
+     "founded_year": None, "has_free_tier": True},
+    {"entity_id": 4, "slug": "d", "name": "Twin", "category_id": 4, "overall_rating": 4.0,
+     "founded_year": 2014, "has_free_tier": True},
+    {"entity_id": 5, "slug": "e", "name": "Echo", "category_id": 4, "overall_rating": 3.0,
+     "founded_year": 2030, "has_free_tier": None},
+    {"entity_id": 6, "slug": "f", "name": "Fox", "category_id": 4, "overall_rating": 5.0,
+     "founded_year": 2015, "has_free_tier": False},
+    {"entity_id": 7, "slug": "g", "name": "Gas", "category_id": 5, "overall_rating": 4.9,
+     "founded_year": 2018, "has_free_tier": True},
+    {"entity_id": 8, "slug": "h", "name": "Hub", "category_id": None, "overall_rating": 4.8,
+     "founded_year": 2019, "has_free_tier": True},
+    {"entity_id": 9, "slug": "i", "name": "Ink", "category_id": 3, "overall_rating": -1.0,
+     "founded_year": 2026, "has_free_tier": True},
+]
+
+# (entity, plan, monthly price, billing model): Alpha has a tie at its lowest paid price.
+OFFERS = [
+    (1, "Free", 0.0, "flat"),
+    (1, "Plus", 10.0, "flat"),
+    (1, "Team", 10.0, "per-seat"),
+    (1, "Sales", None, "flat"),
+    (2, "Pro", 20.0, "per-seat"),
+    (3, "Sales", None, None),
+    (4, "Basic", 8.0, "flat"),
+    (4, "Max", 80.0, "flat"),
+    (6, "One", 2.0, "usage-based"),
+    (6, "Two", 3.0, "flat"),
+    (7, "0.01% fee", 0.01, "flat"),
+    (8, "Solo", 5.0, "weekly"),
+]
+
+# (entity, name, value, group)
+ATTRIBUTES = [
+    (1, "SSO", "True", "security"),
+    (1, "Audit", "true", "security"),
+    (1, "Chat", "False", "ai"),
+    (2, "SSO", "TRUE", "security"),
+    (2, "Chat", "true", "ai"),
+    (3, "Chat", None, "ai"),
+    (4, "SSO", "by request", "security"),
+    (6, "Chat", "true", "ai"),
+]
+
+
+@pytest.fixture(scope="session")
+def frames(spark):
+    day = datetime.date(2026, 4, 27)
+    offers = [
+        dict(zip(("entity_id", "plan_name", "price_monthly", "billing_model"), o)) for o in OFFERS
+    ]
+    attributes = [
+        dict(zip(("entity_id", "feature_name", "feature_value", "category"), a))
+        for a in ATTRIBUTES
+    ]
+    log = [{"entity_id": 1, "recorded_date": day, "plan_name": "Plus", "price": 10.0}]
+    rows = {
+        "category": CATEGORIES,
+        "entity": [{"review_count": 0, **e} for e in ENTITIES],
+        "offer": numbered("offer_id", offers),
+        "attribute": numbered("attribute_id", attributes),
+        "price_log": numbered("log_id", log),
+    }
+    return {role: role_frame(spark, role, values) for role, values in rows.items()}
+
+
+@pytest.fixture(scope="session")
+def catalogue(frames):
+    return catalogue_of(frames)

@@ -1,0 +1,90 @@
+from dataclasses import replace
+
+from tariffscope.plans import marts, quality
+
+from conftest import role_frame, rows_of
+
+
+def test_row_counts(catalogue):
+    assert dict(rows_of(quality.table_row_counts(catalogue))) == {
+        "categories": 5, "products": 9, "pricing_plans": 12, "features": 8, "price_history": 1
+    }
+
+
+def test_category_listing_is_sorted(catalogue):
+    assert rows_of(quality.category_listing(catalogue), "slug")[0] == ("crm",)
+
+
+def test_count_reconcile_includes_empty_categories(catalogue):
+    assert set(rows_of(quality.count_reconcile(catalogue))) == {("ai-tools", 4, 0), ("crm", 7, 3)}
+
+
+def test_missing_rating(catalogue):
+    assert rows_of(quality.missing_rating(catalogue), "entity_id") == [(3,)]
+
+
+def test_rating_out_of_range_ignores_missing(catalogue):
+    assert set(rows_of(quality.rating_out_of_range(catalogue), "entity_id")) == {(2,), (9,)}
+
+
+def test_year_outliers(catalogue):
+    assert set(rows_of(quality.year_outliers(catalogue), "entity_id")) == {(2,), (3,), (5,)}
+
+
+def test_custom_offers_are_sorted_by_name(catalogue):
+    assert rows_of(quality.custom_offers(catalogue)) == [
+        ("Alpha", "Sales", None, "flat"), ("Twin", "Sales", None, None)
+    ]
+
+
+def test_custom_share(catalogue):
+    assert rows_of(quality.custom_share(catalogue)) == [(16.7,)]
+
+
+def test_duplicate_keys(catalogue):
+    assert rows_of(quality.duplicate_keys(catalogue.entity)) == []
+    assert rows_of(quality.duplicate_keys(catalogue.entity, "name")) == [("Twin", 2)]
+
+
+def test_entities_without_offers_and_attributes(catalogue):
+    assert set(rows_of(quality.entities_without_offers(catalogue))) == {(5, "Echo"), (9, "Ink")}
+    without = set(rows_of(quality.entities_without_attributes(catalogue), "entity_id"))
+    assert without == {(5,), (7,), (8,), (9,)}
+
+
+def test_unit_mismatch_probe(catalogue):
+    assert rows_of(quality.unit_mismatch_probe(catalogue)) == [("Gas", "0.01% fee", 0.01, "flat")]
+
+
+def test_placeholder_profile(catalogue):
+    assert rows_of(quality.placeholder_profile(catalogue.entity)) == [(0, 0, 0.0)]
+
+
+def test_umbrella_rollup(catalogue, spark):
+    assert rows_of(quality.umbrella_rollup(catalogue)) == [(4,)]
+    assert rows_of(quality.umbrella_rollup(catalogue, "none-", ())) == [(0,)]
+    upper = role_frame(spark, "category", [{"category_id": 2, "slug": "AI-Image"}])
+    assert rows_of(quality.umbrella_rollup(replace(catalogue, category=upper))) == [(2,)]
+
+
+def test_value_variants(catalogue):
+    assert set(rows_of(quality.value_variants(catalogue))) == {
+        ("True", 1, "true"), ("true", 3, "true"), ("TRUE", 1, "true"), ("False", 1, "false"),
+        ("by request", 1, "by request"), (None, 1, None),
+    }
+
+
+def test_mart_counters(catalogue):
+    mart = marts.entity_mart(catalogue)
+    counters = quality.mart_counters(
+        {
+            "products_clean": mart,
+            "category_summary": marts.category_summary(mart),
+            "pricing_plans_clean": marts.offers_enriched(catalogue),
+            "features_clean": marts.clean_attributes(catalogue),
+        }
+    )
+    assert dict(rows_of(counters)) == {
+        "products_clean_rows": 9, "missing_rating": 1, "with_custom_price": 2,
+        "category_summary_rows": 4, "pricing_plans_clean_rows": 12, "features_clean_rows": 8,
+    }
