@@ -9,7 +9,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 
 from ..sources.catalogue import Catalogue
-from ..sources.readers import read_marts
+from ..sources.readers import read_mart
+from ..sources.roles import MART_SCHEMAS
 from ..sources.writers import WRITERS, save_per_entity
 from . import marts
 
@@ -49,7 +50,6 @@ def write_marts(
     write(mart, f"{root}/products_clean")
     write(marts.offers_enriched(c), f"{root}/pricing_plans_clean")
     write(marts.clean_attributes(c), f"{root}/features_clean")
-    stored = read_marts(spark, root, format)
-    summary = marts.category_summary(stored["products_clean"], c.category_is_small)
-    write(summary, f"{root}/category_summary")
-    return stored
+    stored_mart = read_mart(spark, root, "products_clean", format)
+    write(marts.category_summary(stored_mart, c.category_is_small), f"{root}/category_summary")
+    return {name: read_mart(spark, root, name, format) for name in MART_SCHEMAS}

@@ -46,7 +46,7 @@ def first_wins(new: DataFrame, stored: DataFrame | None, keys: _Keys, order_by:
     position = F.struct(*(F.col(c) for c in [*order_by, *key_columns]))
     rows = _first_per(rows.withColumn(_POSITION, position), key_columns)
     if len(keys) == 1:
-        return rows.drop(_POSITION)
+        return rows.select(*new.columns)
 
     rows, kept = rows.checkpoint(), []
     while not rows.isEmpty():
@@ -56,7 +56,7 @@ def first_wins(new: DataFrame, stored: DataFrame | None, keys: _Keys, order_by:
         ).checkpoint()
         kept.append(first_under_all)
         rows = _without_clashes(rows, first_under_all, keys).checkpoint()
-    return reduce(DataFrame.unionByName, kept, rows).drop(_POSITION)
+    return reduce(DataFrame.unionByName, kept, rows).select(*new.columns)
 
 
 def load_table(

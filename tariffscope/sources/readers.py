@@ -88,10 +88,10 @@ def catalogue_from_jdbc(
     return catalogue_of(roles)
 
 
-def read_marts(spark: SparkSession, root: str, format: str = "parquet") -> dict[str, DataFrame]:
-    """The marts written by ``plans.build.write_marts``."""
+def read_mart(spark: SparkSession, root: str, name: str, format: str = "parquet") -> DataFrame:
+    """A mart written by ``plans.build.write_marts``."""
     reader = read_csv if format == "csv" else read_parquet
-    return {name: reader(spark, f"{root}/{name}", schema) for name, schema in MART_SCHEMAS.items()}
+    return reader(spark, f"{root}/{name}", MART_SCHEMAS[name])
 
 
 def create_views(frames: dict[str, DataFrame]) -> None:
