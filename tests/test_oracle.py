@@ -1,0 +1,37 @@
+"""Every registered query against its SQL oracle, and the driver's contract."""
+
+import os
+
+import pytest
+
+from testbed.check import mismatch, oracle_connection
+from testbed.oracle import ORACLES
+from testbed.registry import QUERIES
+
+SF = "/root/testdata/sf0.01"
+needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
+
+
+@pytest.fixture(scope="module")
+def connection():
+    connection = oracle_connection(SF)
+    yield connection
+    connection.close()
+
+
+@needs_data
+@pytest.mark.parametrize("name", QUERIES)
+def test_query_matches_its_oracle(spark, connection, name):
+    assert mismatch(spark, connection, name, SF) is None
+
+
+def test_every_query_has_an_oracle():
+    assert len(QUERIES) == 54 and set(QUERIES) == set(ORACLES)
+
+
+@needs_data
+def test_entry_point(spark):
+    import __spark_entry__ as driver
+
+    assert driver.entry(spark).columns[0] == "category"
+    assert set(driver.queries()) == set(driver.oracle_sql())
