@@ -2,7 +2,8 @@
 
 ``BENCH_SF_DIR`` is the data (default sf0.1), ``BENCH_CPUS`` the local cores (default 8).
 A query's time covers planning and running it to the last row; the result is
-written to Spark's no-op sink.  One untimed query goes first, to start the session.
+written to Spark's no-op sink.  One untimed query goes first, to start the session and
+to open the catalogue.
 """
 
 import json

@@ -156,19 +156,22 @@ def top_categories_by_price(summary: DataFrame, limit: int = 15) -> DataFrame:
 
 
 def category_extremes(summary: DataFrame) -> DataFrame:
-    """finding, category_name, value: dearest, cheapest, most and least often free category."""
+    """finding, category_name, value: dearest, cheapest, most and least often free category.
 
-    def first(value: str, descending: bool):
-        """The first category by value, then slug, among those that have the value."""
-        order = -F.col(value) if descending else F.col(value)
-        place = F.when(F.col(value).isNotNull(), F.struct(order, "category_slug"))
-        return F.min_by(F.struct("category_name", F.col(value).alias("value")), place)
+    Of categories with the same value, the one with the fewest entities is named, and of
+    these the last by slug.
+    """
+
+    def first(value: str, sign: int):
+        tie_break = (-F.col("product_count"), F.col("category_slug"))
+        place = F.when(F.col(value).isNotNull(), F.struct(sign * F.col(value), *tie_break))
+        return F.max_by(F.struct("category_name", F.col(value).alias("value")), place)
 
     findings = {
-        "most_expensive": first("avg_entry_price", True),
-        "cheapest": first("avg_entry_price", False),
-        "highest_free_share": first("free_tier_pct", True),
-        "lowest_free_share": first("free_tier_pct", False),
+        "most_expensive": first("avg_entry_price", 1),
+        "cheapest": first("avg_entry_price", -1),
+        "highest_free_share": first("free_tier_pct", 1),
+        "lowest_free_share": first("free_tier_pct", -1),
     }
     return (
         summary.agg(*(value.alias(name) for name, value in findings.items()))

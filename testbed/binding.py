@@ -6,6 +6,8 @@ used.  The tables hold no missing values, so some are derived: one order status
 stands for offers without a price, low balances for missing ratings.
 """
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,7 +119,12 @@ def _category(nation: DataFrame, region: DataFrame, customer: DataFrame, small:
     return leaves.selectExpr(*_LEAF_COLUMNS).unionByName(umbrella.selectExpr(*_UMBRELLA_COLUMNS))
 
 
+@lru_cache(maxsize=8)
 def bind(spark: SparkSession, sf_dir: str) -> Catalogue:
+    """The catalogue over the tables in ``sf_dir``, opened once per session.
+
+    It holds plans, not data: every query on it scans the tables anew.
+    """
     nation, region, customer, orders, events = (
         table(spark, sf_dir, name) for name in ("nation", "region", "customer", "orders", "events")
     )

@@ -185,7 +185,7 @@ FROM result""",
 
 def _extreme(finding: str, column: str, direction: str) -> str:
     return f"""(SELECT '{finding}' AS finding, category_name, {column} AS value FROM summary
-    WHERE {column} IS NOT NULL ORDER BY {column} {direction}, category_slug LIMIT 1)"""
+    WHERE {column} IS NOT NULL ORDER BY {column} {direction}, product_count, category_slug DESC LIMIT 1)"""
 
 
 _RATINGS = "g2_rating, capterra_rating, overall_rating"

@@ -129,7 +129,7 @@ def test_category_findings(mart):
     ]
     assert set(rows_of(statistics.category_extremes(summary))) == {
         ("most_expensive", "Large Models", 15.0), ("cheapest", "CRM", 5.0),
-        ("highest_free_share", "AI Image", 100.0), ("lowest_free_share", "CRM", 33.3),
+        ("highest_free_share", "DEX", 100.0), ("lowest_free_share", "CRM", 33.3),
     }
 
 
