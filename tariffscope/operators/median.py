@@ -10,6 +10,8 @@ rows in ten thousand.  The counts say exactly which of these is the median.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import join_lookup
+
 ACCURACY = 10000
 
 _BELOW, _WITHIN, _ABOVE, _MISSING = -1, 0, 1, 2
@@ -38,14 +40,14 @@ def _zone(value: Column, within: Column) -> Column:
     )
 
 
-def _pick(zoned: DataFrame, by: list[str], carried: list[str]) -> DataFrame:
+def _pick(zoned: DataFrame, by: str, carried: list[str]) -> DataFrame:
     """From (by, carried, n, zone, value) to (by, carried, median)."""
-    groups = [*by, *carried, "n"]
+    groups = [by, *carried, "n"]
     counted = zoned.groupBy(
         *groups, "zone", F.when(F.col("zone") == _WITHIN, F.col("value")).alias("value")
     ).agg(F.count("*").alias("rows"))
     order = (
-        Window.partitionBy(*by)
+        Window.partitionBy(by)
         .orderBy("zone", "value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -63,18 +65,20 @@ def _pick(zoned: DataFrame, by: list[str], carried: list[str]) -> DataFrame:
         "CASE WHEN lower IS NOT NULL AND upper IS NOT NULL THEN (lower + upper) / 2"
         " WHEN n > 0 THEN CAST(raise_error('the median lies outside its bracket') AS DOUBLE) END"
     )
-    return picked.select(*by, *carried, median.alias("median"))
+    return picked.select(by, *carried, median.alias("median"))
 
 
-def medians_within(rows: DataFrame, groups: DataFrame, by: list[str], value: str) -> DataFrame:
+def medians_within(
+    rows: DataFrame, groups: DataFrame, by: str, value: str, few_groups: bool = False
+) -> DataFrame:
     """``groups`` with the exact median of its rows' values in place of its bracket.
 
     ``groups`` holds one row per group: ``by``, ``bracket``, and any columns to carry
-    along; broadcast it where its size is known to be small.  The median of a group
-    without values is NULL.
+    along; ``few_groups`` says it is known to be small.  The median of a group without
+    values is NULL.
     """
-    carried = [c for c in groups.columns if c not in (*by, "bracket")]
-    zoned = rows.select(*by, F.col(value).alias("value")).join(groups, by)
+    carried = [c for c in groups.columns if c not in (by, "bracket")]
+    zoned = join_lookup(rows.select(by, F.col(value).alias("value")), groups, by, small=few_groups)
     zoned = zoned.withColumn("zone", _zone(F.col("value"), F.col("bracket")))
     return _pick(zoned.withColumn("n", F.col("bracket.n")), by, carried)
 
@@ -91,4 +95,4 @@ def global_median(rows: DataFrame, value: str, accuracy: int = ACCURACY) -> Data
         _zone(F.col("value"), F.col("bracket")).alias("zone"),
         "value",
     )
-    return _pick(zoned, ["all"], []).agg(F.max("median").alias("median"))
+    return _pick(zoned, "all", []).agg(F.max("median").alias("median"))

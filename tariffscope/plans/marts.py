@@ -7,6 +7,7 @@ from ..functions import fixed_values as fixed
 from ..functions.flags import is_comparable, is_set, is_true_text
 from ..functions.rounding import half_even, percent
 from ..operators import per_entity
+from ..operators.joins import join_lookup
 from ..operators.median import bracket, medians_within
 from ..operators.ordering import in_order
 from ..sources.catalogue import Catalogue
@@ -61,7 +62,7 @@ def entity_mart(
         "category_id", "category_slug", "category_name"
     )
     mart = (
-        c.entity.join(c.per_category(categories), "category_id", "left")
+        join_lookup(c.entity, categories, "category_id", "left", c.category_is_small)
         .join(offers, "entity_id", "left")
         .join(attributes, "entity_id", "left")
         .select(
@@ -101,9 +102,8 @@ def category_summary(mart: DataFrame, few_categories: bool = False) -> DataFrame
         F.avg("price").alias("avg_entry_price"),
         bracket(F.col("price")).alias("bracket"),
     )
-    groups = F.broadcast(groups) if few_categories else groups
     return (
-        medians_within(known, groups, by, "price")
+        medians_within(known, groups, "category_slug", "price", few_categories)
         .select(
             *by,
             "product_count",
@@ -121,9 +121,8 @@ def category_summary(mart: DataFrame, few_categories: bool = False) -> DataFrame
 
 
 def offers_enriched(c: Catalogue) -> DataFrame:
-    """Every offer with its entity's name (``pricing_plans_clean``).
-
-    An entity's offers may be a large part of all; adaptive execution splits them.
-    """
+    """Every offer with its entity's name (``pricing_plans_clean``)."""
     names = c.entity.select("entity_id", F.col("name").alias("product_name"))
-    return c.offer.join(names, "entity_id", "left").select(*c.offer.columns, "product_name")
+    return join_lookup(c.offer, names, "entity_id", "left").select(
+        *c.offer.columns, "product_name"
+    )

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.rounding import half_up, percent
+from ..operators.joins import join_lookup
 from ..operators.ordering import in_order
 from ..operators.per_entity import entity_keys
-from ..sources.catalogue import Catalogue
+from ..sources.catalogue import Catalogue, is_small
 from ..sources.roles import ROLES
 
 
@@ -77,11 +78,10 @@ def custom_offers(c: Catalogue, ordered: bool = True) -> DataFrame:
     The sort ends on the offer's id, so an entity with very many offers is still
     divided over several tasks.
     """
-    offers = (
-        c.offer.filter(F.col("price_monthly").isNull())
-        .select("offer_id", "entity_id", "plan_name", "price_monthly", "billing_model")
-        .join(c.entity.select("entity_id", "name"), "entity_id")
+    offers = c.offer.filter(F.col("price_monthly").isNull()).select(
+        "offer_id", "entity_id", "plan_name", "price_monthly", "billing_model"
     )
+    offers = join_lookup(offers, c.entity.select("entity_id", "name"), "entity_id")
     return in_order(offers, ordered, "name", "offer_id").select(
         "name", "plan_name", "price_monthly", "billing_model"
     )
@@ -115,12 +115,11 @@ def unit_mismatch_probe(
 ) -> DataFrame:
     """The lowest positive prices in a category suspected of another unit."""
     suspect = c.category.filter(F.col("slug") == slug).select("category_id")
-    members = c.entity.select("entity_id", "name", "category_id").join(
-        c.per_category(suspect), "category_id"
-    )
+    entities = c.entity.select("entity_id", "name", "category_id")
+    members = join_lookup(entities, suspect, "category_id", small=c.category_is_small)
+    paid_offers = c.offer.filter(F.col("price_monthly") > 0)
     return (
-        c.offer.filter(F.col("price_monthly") > 0)
-        .join(members, "entity_id")
+        join_lookup(paid_offers, members, "entity_id", small=is_small(entities))
         .orderBy("price_monthly", "offer_id")
         .limit(limit)
         .select("name", "plan_name", "price_monthly", "billing_model")

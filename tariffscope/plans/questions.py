@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fixed
 from ..functions.flags import is_set, is_true_text
 from ..functions.rounding import half_up, percent, ratio
+from ..operators.joins import join_lookup
 from ..operators.ordering import in_order
 from ..operators.per_entity import entry_prices, true_attribute_counts
 from ..sources.catalogue import Catalogue
@@ -81,7 +82,7 @@ def billing_model_mix(c: Catalogue) -> DataFrame:
 def _with_category(c: Catalogue, rows: DataFrame) -> DataFrame:
     """Entity rows with their category's name; rows without a category drop out."""
     names = c.category.select("category_id", F.col("name").alias("category"))
-    return rows.join(c.per_category(names), "category_id")
+    return join_lookup(rows, names, "category_id", small=c.category_is_small)
 
 
 def top_rated(c: Catalogue, limit: int = 10) -> DataFrame:
@@ -109,8 +110,10 @@ def category_leaders(c: Catalogue, ordered: bool = True) -> DataFrame:
             "entity_id", "category_id", "name", "overall_rating"
         ),
     )
-    best = rated.groupBy("category_id").agg(F.max("overall_rating").alias("overall_rating"))
-    leaders = rated.join(c.per_category(best), ["category_id", "overall_rating"])
+    best = rated.groupBy("category_id").agg(F.max("overall_rating").alias("best_rating"))
+    leaders = join_lookup(rated, best, "category_id", small=c.category_is_small).filter(
+        F.col("overall_rating") == F.col("best_rating")
+    )
     return in_order(leaders, ordered, F.desc("overall_rating"), "entity_id").select(
         "category", F.col("name").alias("top_product"), "overall_rating"
     )
@@ -136,7 +139,7 @@ def best_free(
     large = c.category.filter(F.col("product_count") >= min_stated)
     names = large.select("category_id", F.col("name").alias("category"))
     return (
-        free.join(c.per_category(names), "category_id")
+        join_lookup(free, names, "category_id", small=c.category_is_small)
         .orderBy(F.desc("overall_rating"), F.desc("review_count"), "entity_id")
         .limit(limit)
         .select("name", "category", "overall_rating", "review_count")

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from ..functions.flags import is_set
 from ..functions.rounding import half_up, percent, ratio
+from ..operators.joins import join_lookup
 from ..operators.ordering import in_order
 from ..operators.per_entity import entry_prices_with_ties
-from ..sources.catalogue import Catalogue
+from ..sources.catalogue import Catalogue, is_small
 
 
 def category_stats(c: Catalogue, dedupe: bool = False) -> DataFrame:
@@ -47,12 +48,16 @@ def category_stats(c: Catalogue, dedupe: bool = False) -> DataFrame:
 def category_offers(c: Catalogue, slug: str = "llm", ordered: bool = True) -> DataFrame:
     """All offers of one category by price, those without a price first."""
     chosen = c.category.filter(F.col("slug") == slug).select("category_id")
-    members = c.entity.select(
+    entities = c.entity.select(
         "entity_id", "category_id", "name", "slug", "overall_rating", "has_free_tier"
-    ).join(c.per_category(chosen), "category_id")
-    offers = c.offer.select(
-        "offer_id", "entity_id", "plan_name", "price_monthly", "billing_model"
-    ).join(members, "entity_id")
+    )
+    members = join_lookup(entities, chosen, "category_id", small=c.category_is_small)
+    offers = join_lookup(
+        c.offer.select("offer_id", "entity_id", "plan_name", "price_monthly", "billing_model"),
+        members,
+        "entity_id",
+        small=is_small(entities),
+    )
     return in_order(offers, ordered, F.asc_nulls_first("price_monthly"), "offer_id").select(
         "name", "slug", "overall_rating", "has_free_tier",
         "plan_name", "price_monthly", "billing_model",
@@ -62,9 +67,8 @@ def category_offers(c: Catalogue, slug: str = "llm", ordered: bool = True) -> Da
 def free_entities(c: Catalogue, ordered: bool = True) -> DataFrame:
     """Entities with a free tier by rating, unrated ones last."""
     names = c.category.select("category_id", F.col("name").alias("category"))
-    free = c.entity.filter(is_set(F.col("has_free_tier"))).join(
-        c.per_category(names), "category_id"
-    )
+    free = c.entity.filter(is_set(F.col("has_free_tier")))
+    free = join_lookup(free, names, "category_id", small=c.category_is_small)
     return in_order(free, ordered, F.desc_nulls_last("overall_rating"), "entity_id").select(
         "name", "slug", "category", "overall_rating", "detail_url"
     )

@@ -22,9 +22,8 @@ def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 class Catalogue:
     """``category_is_small`` must come from a check of the category table's size.
 
-    It lets joins against at most one row per category be broadcast.  Without
-    it nothing is hinted: such joins shuffle, and adaptive execution splits the
-    partitions of an over-full category.
+    It lets joins against at most one row per category be broadcast.  Without it
+    groups are joined by a shuffle, and rows as in ``operators.joins.join_lookup``.
     """
 
     category: DataFrame

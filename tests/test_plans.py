@@ -122,12 +122,62 @@ def test_entities_are_shuffled_once_for_both_summaries(stored, spark):
     assert len(re.findall(r"Exchange hashpartitioning\(entity_id", plan)) == 3
 
 
-def test_category_is_not_broadcast_unless_found_small(stored, spark):
+def broadcast_parts(plan):
+    """The lines below each broadcast of a plan."""
+    lines = plan.splitlines()
+    depths = [len(re.match(r"[ :+-]*", line).group()) for line in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depths[j] <= depths[i]), len(lines))
+            yield "\n".join(lines[i + 1 : end])
+
+
+def is_bounded(part):
+    """A broadcast part that starts from the fixed small tables, or holds a few heavy keys."""
+    return re.search(r"(nation|region)\.parquet", part) or "collect_frequent_items" in part
+
+
+def test_large_lookups_are_not_broadcast(stored, spark, monkeypatch):
+    """Only rows of the few heavy keys are."""
+    monkeypatch.setattr("tariffscope.operators.joins.is_small", lambda df: False)
     large = Catalogue(**stored.roles)
     with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
-        for plan in (questions.top_rated, questions.category_leaders, views.free_entities):
-            assert "BroadcastExchange" in planned(plan(stored))
-            assert "BroadcastExchange" not in planned(plan(large))
+        for plan in (questions.top_rated, questions.category_leaders, views.free_entities,
+                     quality.custom_offers, marts.offers_enriched):
+            text = planned(plan(large))
+            assert "SortMergeJoin" in text
+            assert all("collect_frequent_items" in part for part in broadcast_parts(text))
+
+
+def test_rows_of_heavy_keys_are_not_shuffled(stored, spark, monkeypatch):
+    """Half of the offers are one entity's; only the others go through the exchange."""
+    monkeypatch.setattr("tariffscope.operators.joins.is_small", lambda df: False)
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        joined = marts.offers_enriched(stored)
+        rows = joined.collect()
+    stage = joined._jdf.queryExecution().executedPlan()
+    written = shuffled_rows(stage)
+    assert len(rows) == 20000 and all(r.product_name is not None for r in rows)
+    # 10000 light offers (of 499 entities), and the 20000 entities they are joined to.
+    assert max(written) <= 20000 and sorted(written)[-2] <= 10000
+
+
+def shuffled_rows(plan):
+    """Rows written by each shuffle of a plan that has run."""
+    counts, pending = [], [plan]
+    while pending:
+        node = pending.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            pending.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            pending.append(node.plan())
+        else:
+            if name == "Exchange":
+                counts.append(node.metrics().apply("shuffleRecordsWritten").value())
+            children = node.children()
+            pending.extend(children.apply(i) for i in range(children.size()))
+    return counts
 
 
 SKEW = {
@@ -139,19 +189,11 @@ SKEW = {
 }
 
 
-def test_offers_of_one_entity_are_split(stored, spark):
-    with settings(spark, **SKEW):
-        rows, plan = final(marts.offers_enriched(stored))
-    assert "skew=true" in plan
-    assert len(rows) == 20000 and all(r.product_name is not None for r in rows)
-
-
-def test_entities_of_one_category_are_split_where_it_cannot_be_broadcast(stored, spark):
+def test_entities_of_one_category_give_the_same_where_it_cannot_be_broadcast(stored, spark):
     large = Catalogue(**stored.roles)
     with settings(spark, **SKEW):
-        rows, plan = final(views.free_entities(large))
-    assert "skew=true" in plan
-    assert sorted(map(tuple, rows)) == sorted(rows_of(views.free_entities(stored)))
+        rows = rows_of(views.free_entities(large))
+    assert rows == rows_of(views.free_entities(stored))
 
 
 def test_hot_groups_shrink_before_the_shuffle(stored, spark):
@@ -164,8 +206,12 @@ def test_hot_groups_shrink_before_the_shuffle(stored, spark):
 
 @pytest.fixture(scope="module")
 def registered(spark):
-    """The plans of all queries, with Spark's own choice to broadcast turned off."""
-    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+    """The plans of all queries as for large tables, without Spark's own choice to broadcast."""
+    with pytest.MonkeyPatch.context() as patch, settings(
+        spark, spark__sql__autoBroadcastJoinThreshold="-1"
+    ):
+        for module in ("operators.joins", "plans.quality", "plans.views"):
+            patch.setattr(f"tariffscope.{module}.is_small", lambda df: False)
         return {name: planned(query(spark, SF)) for name, query in QUERIES.items()}
 
 
@@ -177,18 +223,7 @@ def test_no_query_multiplies_rows_or_leaves_the_jvm(registered):
 
 
 @needs_data
-def test_only_categories_are_broadcast_by_hint(registered):
-    """What is broadcast lies in the part of a plan that starts from nations or regions."""
+def test_only_what_is_bounded_is_broadcast(registered):
     for name, plan in registered.items():
-        lines = plan.splitlines()
-        for i, line in enumerate(lines):
-            if "BroadcastExchange" not in line:
-                continue
-            depth = len(re.match(r"[ :+-]*", line).group())
-            below = []
-            for other in lines[i + 1 :]:
-                if len(re.match(r"[ :+-]*", other).group()) <= depth:
-                    break
-                below.append(other)
-            scanned = set(re.findall(r"sf0.001/(\w+).parquet", "\n".join(below)))
-            assert scanned & {"nation", "region"}, (name, scanned)
+        for part in broadcast_parts(plan):
+            assert is_bounded(part), (name, part)
