@@ -98,6 +98,11 @@ def duplicate_keys(rows: DataFrame, key: str = "slug") -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("row_count")).filter(F.col("row_count") > 1)
 
 
+def duplicate_slugs(c: Catalogue) -> DataFrame:
+    """Entity slugs that occur more than once."""
+    return duplicate_keys(c.entity)
+
+
 def entities_without_offers(c: Catalogue) -> DataFrame:
     return c.entity.select("entity_id", "name").join(
         entity_keys(c.offer), "entity_id", "left_anti"
@@ -126,7 +131,7 @@ def unit_mismatch_probe(
     )
 
 
-def placeholder_profile(rows: DataFrame, column: str = "review_count") -> DataFrame:
+def placeholder_profile(rows: DataFrame, column: str) -> DataFrame:
     """Least, greatest and mean value: all equal means the column is not filled in."""
     return rows.agg(
         F.min(column).alias("min_value"),
@@ -135,6 +140,11 @@ def placeholder_profile(rows: DataFrame, column: str = "review_count") -> DataFr
     )
 
 
+def review_count_profile(c: Catalogue) -> DataFrame:
+    """Is the review count filled in?"""
+    return placeholder_profile(c.entity, "review_count")
+
+
 def umbrella_rollup(
     c: Catalogue,
     prefix: str = fixed.ROLLUP_PREFIX,

@@ -4,13 +4,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tariffscope.plans import boards, marts, quality, questions, statistics, views
+from tariffscope.plans import jobs, marts, quality
 from tariffscope.sources.catalogue import Catalogue
 
 from . import binding as b
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Parameters that name something in the test tables.
+OPTIONS: dict[str, dict] = {
+    "dq_unit_mismatch_probe": {"slug": b.NOT_COMPARABLE},
+    "dq_umbrella_rollup": {"prefix": b.ROLLUP_PREFIX, "slugs": b.ROLLUP_SLUGS},
+    "clean_categories": b.CLEANING,
+    "q01_entry_price_by_category": {"exclude": (b.NOT_COMPARABLE,)},
+    "view_category_offers": {"slug": b.SHOWN_CATEGORY},
+    "billing_board": {"models": b.BILLING_MODELS},
+}
+
 
 def _mart(c: Catalogue) -> DataFrame:
     return marts.entity_mart(c, not_comparable=b.NOT_COMPARABLE, **b.CLEANING)
@@ -20,92 +30,34 @@ def _summary(c: Catalogue) -> DataFrame:
     return marts.category_summary(_mart(c), c.category_is_small)
 
 
-def _all_marts(c: Catalogue) -> dict[str, DataFrame]:
-    return {
-        "products_clean": _mart(c),
-        "category_summary": _summary(c),
-        "pricing_plans_clean": marts.offers_enriched(c),
-        "features_clean": marts.clean_attributes(c),
-    }
-
-
-def _on_catalogue(plan: Callable[..., DataFrame], **options) -> Query:
-    return lambda spark, sf_dir: plan(b.bind(spark, sf_dir), **options)
-
+def _mart_counters(c: Catalogue) -> DataFrame:
+    return quality.mart_counters(
+        {
+            "products_clean": _mart(c),
+            "category_summary": _summary(c),
+            "pricing_plans_clean": marts.offers_enriched(c),
+            "features_clean": marts.clean_attributes(c),
+        }
+    )
 
-def _on_mart(plan: Callable[..., DataFrame], **options) -> Query:
-    return lambda spark, sf_dir: plan(_mart(b.bind(spark, sf_dir)), **options)
 
+def _query(name: str, plan: jobs.Plan, source: Callable[[Catalogue], object]) -> Query:
+    return lambda spark, sf_dir: plan(source(b.bind(spark, sf_dir)), **OPTIONS.get(name, {}))
 
-def _on_summary(plan: Callable[..., DataFrame], **options) -> Query:
-    return lambda spark, sf_dir: plan(_summary(b.bind(spark, sf_dir)), **options)
 
+_SOURCES = (
+    (jobs.ON_CATALOGUE, lambda c: c),
+    ({"entity_mart": lambda mart: mart} | jobs.ON_MART, _mart),
+    ({"category_summary": lambda summary: summary} | jobs.ON_SUMMARY, _summary),
+    (jobs.ON_OFFERS, lambda c: c.offer),
+    (jobs.ON_ENRICHED, marts.offers_enriched),
+    ({"dq_mart_counters": lambda counters: counters}, _mart_counters),
+)
 
 QUERIES: dict[str, Query] = {
-    # Data-quality audit
-    "dq_table_row_counts": _on_catalogue(quality.table_row_counts),
-    "category_listing": _on_catalogue(quality.category_listing),
-    "dq_count_reconcile": _on_catalogue(quality.count_reconcile),
-    "dq_missing_rating": _on_catalogue(quality.missing_rating),
-    "dq_custom_offers": _on_catalogue(quality.custom_offers),
-    "dq_custom_share": _on_catalogue(quality.custom_share),
-    "dq_duplicate_keys": lambda spark, sf_dir: quality.duplicate_keys(b.part_slugs(spark, sf_dir)),
-    "dq_entities_without_offers": _on_catalogue(quality.entities_without_offers),
-    "dq_entities_without_attributes": _on_catalogue(quality.entities_without_attributes),
-    "dq_year_outliers": _on_catalogue(quality.year_outliers),
-    "dq_unit_mismatch_probe": _on_catalogue(quality.unit_mismatch_probe, slug=b.NOT_COMPARABLE),
-    "dq_placeholder_profile": lambda spark, sf_dir: quality.placeholder_profile(
-        b.bind(spark, sf_dir).entity
-    ),
-    "dq_rating_out_of_range": _on_catalogue(quality.rating_out_of_range),
-    "dq_umbrella_rollup": _on_catalogue(
-        quality.umbrella_rollup, prefix=b.ROLLUP_PREFIX, slugs=b.ROLLUP_SLUGS
-    ),
-    "dq_value_variants": _on_catalogue(quality.value_variants),
-    "dq_mart_counters": _on_catalogue(lambda c: quality.mart_counters(_all_marts(c))),
-    # Marts
-    "clean_categories": _on_catalogue(marts.clean_categories, **b.CLEANING),
-    "clean_attributes": _on_catalogue(marts.clean_attributes),
-    "attribute_summary": _on_catalogue(marts.attribute_summary),
-    "offer_summary": _on_catalogue(marts.offer_summary),
-    "entity_mart": _on_catalogue(_mart),
-    "category_summary": _on_catalogue(_summary),
-    "offers_enriched": _on_catalogue(marts.offers_enriched),
-    # Business questions
-    "q01_entry_price_by_category": _on_catalogue(
-        questions.entry_price_by_category, exclude=(b.NOT_COMPARABLE,)
-    ),
-    "q02_free_tier_share": _on_catalogue(questions.free_tier_share),
-    "q03_billing_model_mix": _on_catalogue(questions.billing_model_mix),
-    "q04_top_rated": _on_catalogue(questions.top_rated),
-    "q05_category_leaders": _on_catalogue(questions.category_leaders),
-    "q06_attributes_vs_price": _on_catalogue(questions.attributes_vs_price),
-    "q07_best_free": _on_catalogue(questions.best_free),
-    "q08_custom_price_by_category": _on_catalogue(questions.custom_price_by_category),
-    "q09_age_cohort": _on_catalogue(questions.age_cohort),
-    "q10_attribute_group_price": _on_catalogue(questions.attribute_group_price),
-    "q11_common_attributes": _on_catalogue(questions.common_attributes),
-    "q12_value_score": _on_catalogue(questions.value_score),
-    # Views
-    "view_category_stats": _on_catalogue(views.category_stats),
-    "view_category_offers": _on_catalogue(views.category_offers, slug=b.SHOWN_CATEGORY),
-    "view_free_entities": _on_catalogue(views.free_entities),
-    # Statistics
-    "stat_median_entry_price": _on_mart(statistics.median_entry_price),
-    "top_categories_by_price": _on_summary(statistics.top_categories_by_price),
-    "category_extremes": _on_summary(statistics.category_extremes),
-    "stat_free_share": _on_mart(statistics.free_share),
-    "stat_price_rating_corr": _on_mart(statistics.price_rating_correlation),
-    "stat_attribute_price_corr": _on_mart(statistics.attribute_price_correlation),
-    "stat_rating_anova": _on_mart(statistics.rating_anova),
-    "stat_price_histogram": _on_mart(statistics.price_histogram),
-    "stat_price_rating_line": _on_mart(statistics.price_rating_line),
-    "value_top5": _on_mart(statistics.value_leaders),
-    "billing_share": _on_catalogue(lambda c: statistics.billing_share(c.offer)),
-    # Boards
-    "entity_board": _on_mart(boards.entity_board),
-    "offer_board": _on_catalogue(lambda c: boards.offer_board(marts.offers_enriched(c))),
-    "category_board": _on_mart(boards.category_board),
-    "billing_board": _on_catalogue(lambda c: boards.billing_board(c.offer, b.BILLING_MODELS)),
-    "kpi_board": _on_mart(boards.kpi_board),
+    name: _query(name, plan, source) for plans, source in _SOURCES for name, plan in plans.items()
 }
+# Customer names are unique; part names are not.
+QUERIES["dq_duplicate_keys"] = lambda spark, sf_dir: quality.duplicate_keys(
+    b.part_slugs(spark, sf_dir)
+)

@@ -57,7 +57,7 @@ def test_unit_mismatch_probe(catalogue):
 
 
 def test_placeholder_profile(catalogue):
-    assert rows_of(quality.placeholder_profile(catalogue.entity)) == [(0, 0, 0.0)]
+    assert rows_of(quality.review_count_profile(catalogue)) == [(0, 0, 0.0)]
 
 
 def test_umbrella_rollup(catalogue, spark):

@@ -3,6 +3,7 @@ from dataclasses import replace
 
 import pytest
 
+from tariffscope.__main__ import run
 from tariffscope.plans import build, marts
 from tariffscope.sources import readers, writers
 from tariffscope.sources.catalogue import catalogue_of, estimated_bytes, is_small
@@ -133,3 +134,12 @@ def test_large_category_table_is_not_broadcast(frames, monkeypatch):
     c = catalogue_of(frames)
     assert not c.category_is_small
     assert c.categories is c.category
+
+
+def test_everything_runs_from_stored_tables(spark, csv_root, tmp_path):
+    names = run(spark, csv_root, str(tmp_path / "out"), "csv", "parquet")
+    assert len(names) == 47 == len(set(names))
+    counts = spark.read.parquet(str(tmp_path / "out/results/dq_table_row_counts"))
+    assert dict(rows_of(counts))["pricing_plans"] == 2
+    kpis = spark.read.parquet(str(tmp_path / "out/results/kpi_board"))
+    assert rows_of(kpis, "total_products", "free_tier_pct_text") == [(1, "100%")]
