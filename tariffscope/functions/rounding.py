@@ -8,17 +8,21 @@ Going through a decimal with ten places first makes the tie exact.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EXACT = "decimal(28,10)"
+
+def _exact(x: Column) -> Column:
+    """``x`` to ten places; NULL where it is not a number, as a mean of nothing is."""
+    number = F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+    return number.cast("decimal(28,10)")
 
 
 def half_up(x: Column, places: int) -> Column:
     """Round half away from zero (SQL and spreadsheet ROUND)."""
-    return F.round(x.cast(_EXACT), places).cast("double")
+    return F.round(_exact(x), places).cast("double")
 
 
 def half_even(x: Column, places: int) -> Column:
     """Round half to the even neighbour (pandas ``round``)."""
-    return F.bround(x.cast(_EXACT), places).cast("double")
+    return F.bround(_exact(x), places).cast("double")
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -63,7 +63,7 @@ def kpi_board(mart: DataFrame) -> DataFrame:
         mart.groupBy("category_name")
         .agg(F.count("name").alias("named"), F.count_if("has_free_tier").alias("free"))
         .agg(
-            F.sum("named").alias("total_products"),
+            F.coalesce(F.sum("named"), F.lit(0)).alias("total_products"),
             F.count("category_name").alias("categories"),
             half_up(percent(F.sum("free"), F.sum("named")), 1).alias("free_tier_pct"),
         )

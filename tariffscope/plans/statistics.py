@@ -42,10 +42,13 @@ def free_share(mart: DataFrame) -> DataFrame:
 def _correlation(rows: DataFrame, x: str, y: str, alpha: float) -> DataFrame:
     """n, r, t, p and the flag p < alpha for Pearson's correlation of two columns."""
     r, n = F.col("r"), F.col("n")
+    # Not F.corr, which fails where a column is constant.
+    correlation = ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    unexplained = F.greatest(1 - r * r, F.lit(0.0))  # r may exceed 1 in its last digit
     test = (
-        rows.agg(F.count("*").alias("n"), F.corr(x, y).alias("r"))
+        rows.agg(F.count("*").alias("n"), correlation.alias("r"))
         .withColumn("df", n - 2)
-        .withColumn("t", r * F.sqrt(ratio(F.col("df"), 1 - r * r)))
+        .withColumn("t", r * F.sqrt(ratio(F.col("df"), unexplained)))
         .withColumn("p", t_two_sided("t", "df"))
     )
     return test.select(

@@ -7,7 +7,7 @@ from ..functions.flags import is_set
 from ..functions.rounding import half_up, percent, ratio
 from ..operators.joins import join_lookup
 from ..operators.ordering import in_order
-from ..operators.per_entity import entry_prices_with_ties
+from ..operators.per_entity import entry_prices, entry_prices_with_ties
 from ..sources.catalogue import Catalogue, is_small
 
 
@@ -17,11 +17,12 @@ def category_stats(c: Catalogue, dedupe: bool = False) -> DataFrame:
     An entity with several offers tied at its lowest price counts once per such offer;
     ``dedupe`` counts it once.  The ties are carried as a weight, so no rows are multiplied.
     """
+    prices = entry_prices(c.offer) if dedupe else entry_prices_with_ties(c.offer)
     times = F.lit(1) if dedupe else F.coalesce("ties", F.lit(1))
     rating, price = F.col("overall_rating"), F.col("entry_price")
     groups = (
         c.entity.select("entity_id", "category_id", "overall_rating", "has_free_tier")
-        .join(entry_prices_with_ties(c.offer), "entity_id", "left")
+        .join(prices, "entity_id", "left")
         .withColumn("times", times)
         .groupBy("category_id")
         .agg(

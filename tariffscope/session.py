@@ -10,7 +10,9 @@ SETTINGS = {
     # Split an over-full join partition even where that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Start from many shuffle partitions; adaptive execution merges the small ones.
-    "spark.sql.shuffle.partitions": "4000",
+    "spark.sql.shuffle.partitions": "10000",
+    # Fewer, larger scan tasks keep the number of shuffle blocks down.
+    "spark.sql.files.maxPartitionBytes": "512MB",
 }
 
 

@@ -40,11 +40,11 @@ def first_wins(new: DataFrame, stored: DataFrame | None, keys: _Keys, order_by:
     if not keys:
         return new
     key_columns = sorted({column for key in keys for column in key})
-    rows = new.dropna(subset=key_columns)
+    position = F.struct(*(F.col(c) for c in [*order_by, *key_columns]))
+    rows = new.dropna(subset=key_columns).withColumn(_POSITION, position)
+    rows = _first_per(rows, key_columns)  # copies go here, before anything is joined
     if stored is not None:
         rows = _without_clashes(rows, stored, keys)
-    position = F.struct(*(F.col(c) for c in [*order_by, *key_columns]))
-    rows = _first_per(rows.withColumn(_POSITION, position), key_columns)
     if len(keys) == 1:
         return rows.select(*new.columns)
 

@@ -80,6 +80,21 @@ def test_perfect_correlation_is_undefined_but_does_not_fail(spark, large_mart):
     assert r == pytest.approx(1.0)
 
 
+def test_tests_on_constant_or_no_values_are_null(spark, large_mart):
+    df, _ = large_mart
+    constant = df.withColumn("overall_rating", df.entry_price * 0 + 4)
+    [(n, r, t, p, flag)] = rows_of(statistics.price_rating_correlation(constant))
+    assert n > 0 and (r, t, p, flag) == (None,) * 4
+    none = df.filter("false")
+    assert rows_of(statistics.price_rating_correlation(none)) == [(0, None, None, None, None)]
+    assert rows_of(statistics.rating_anova(none))[0][2:] == (None, None, None)
+    assert rows_of(statistics.price_rating_line(none)) == [(None, None, None)]
+    assert rows_of(statistics.median_entry_price(none)) == [(None,)]
+    assert rows_of(statistics.free_share(none)) == [(None,)]
+    assert rows_of(boards.kpi_board(none)) == [(0, 0, None, None, None, None)]
+    assert {r[3] for r in rows_of(statistics.price_histogram(none))} == {0}
+
+
 def test_anova_uses_all_entities_with_a_category(large_mart):
     df, rows = large_mart
     groups = [
