@@ -17,14 +17,20 @@ SETTINGS = {
 
 
 def build_session(app_name: str, master: str | None = None, **settings: str) -> SparkSession:
-    """``settings`` override the defaults, with dots written as double underscores."""
+    """``settings`` are written with double underscores for dots; they, and what the cluster
+    or spark-submit sets, come before the settings above."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    chosen = SETTINGS | {key.replace("__", "."): value for key, value in settings.items()}
+    chosen = {key.replace("__", "."): value for key, value in settings.items()}
     for key, value in chosen.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for key, value in SETTINGS.items():
+        if key not in chosen and not given.contains(key):
+            spark.conf.set(key, value)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:

@@ -140,5 +140,7 @@ def bind(spark: SparkSession, sf_dir: str) -> Catalogue:
 
 
 def part_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names as slugs: unlike customer names, they do repeat."""
-    return table(spark, sf_dir, "part").select(F.lower("p_name").alias("slug"))
+    """Parts with their name as slug: unlike customer names, part names do repeat."""
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("part_id"), F.lower("p_name").alias("slug"), "p_brand"
+    )

@@ -231,6 +231,10 @@ SELECT {_up(_pct("count(*) - count(price_monthly)", "count(*)"), 1)} AS pct_cust
     ),
     "dq_duplicate_keys": """
 SELECT lower(p_name) AS slug, count(*) AS row_count FROM part GROUP BY 1 HAVING count(*) > 1""",
+    "load_first_wins": """
+SELECT p_partkey AS part_id, lower(p_name) AS slug, p_brand FROM part p
+WHERE NOT EXISTS (SELECT 1 FROM part q
+                  WHERE lower(q.p_name) = lower(p.p_name) AND q.p_partkey < p.p_partkey)""",
     "dq_entities_without_offers": _over(
         "entity", "offer",
         query="""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tariffscope.plans import jobs, marts, quality
 from tariffscope.sources.catalogue import Catalogue
+from tariffscope.sources.loading import first_wins
 
 from . import binding as b
 
@@ -61,3 +62,7 @@ QUERIES: dict[str, Query] = {
 QUERIES["dq_duplicate_keys"] = lambda spark, sf_dir: quality.duplicate_keys(
     b.part_slugs(spark, sf_dir)
 )
+# Loading parts into a table keyed by slug: the first part of each name stays.
+QUERIES["load_first_wins"] = lambda spark, sf_dir: first_wins(
+    b.part_slugs(spark, sf_dir), None, (("slug",),), ["part_id"]
+)
