@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tariffscope.llm import packing, toxicity, urls, warc
 from tariffscope.llm.common import table
 
 
@@ -15,14 +17,33 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tariffscope.llm.packing import pack
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled as the document of the same number; low quality is the bad outcome."""
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad")
+    )
+    return urls.judge(table(spark, sf_dir, "pages"), labels)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_urls": op2_urls,
+    "op5_warc": op5_warc,
+    "op6_toxicity": op6_toxicity,
     "op9_packing": op9_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_urls": urls.oracle(),
+}
