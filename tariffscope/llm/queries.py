@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tariffscope.llm import packing, toxicity, urls, warc
+from tariffscope.llm import decontam, lines, packing, toxicity, urls, warc
 from tariffscope.llm.common import table
 
 
@@ -33,6 +33,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.without_repeats(documents)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -41,7 +50,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_urls": op2_urls,
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
+    "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
+    "op10_lines": op10_lines,
 }
 
 ORACLES: dict[str, str] = {
