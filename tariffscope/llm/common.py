@@ -47,9 +47,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def wide_hash(*columns: Column | str) -> tuple[Column, Column]:
-    """Two 64-bit hashes with different seeds, together as good as one of 128 bits."""
-    return F.xxhash64(*columns), F.xxhash64(F.lit(7), *columns)
+def once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row, however often it is used afterwards:
+    the optimizer copies an expression into its uses, but not through a generator."""
+    return df.select("*", F.explode(F.array(column)).alias(name))
 
 
 def document_key() -> tuple[Column, Column]:

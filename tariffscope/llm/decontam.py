@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tariffscope.llm.common import Scratch, document_key, once
+
 # 1 is a position that is looked at.
 MASKS = ("110100110101", "101101000111", "111010010011")
 SPAN = len(MASKS[0])
@@ -32,30 +34,54 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.split(F.when(words != "", words), " "), lambda word: F.xxhash64(word))
 
 
-def _seeds(frame: DataFrame, tokens: str) -> DataFrame:
-    """A row per window and mask: ``place`` of the window and ``seed``, its hash under the mask."""
-    places = frame.where(F.size(tokens) >= SPAN).withColumn(
-        "place", F.explode(F.sequence(F.lit(0), F.size(tokens) - SPAN))
-    )
+def _seeds(tokens: str) -> Column:
+    """Hashes of every window under every mask, the masks' lists one after the other."""
     looked = [[i for i, bit in enumerate(mask) if bit == "1"] for mask in MASKS]
-    return places.withColumn(
-        "seed",
-        F.explode(F.array(*(
-            F.xxhash64(F.lit(n), *(F.col(tokens)[F.col("place") + i] for i in at)) for n, at in enumerate(looked)
-        ))),
-    )
+    places = F.sequence(F.lit(0), F.size(tokens) - SPAN)
+
+    def under(n: int, at: list[int]) -> Column:
+        return F.transform(places, lambda p: F.xxhash64(F.lit(n), *(F.get(F.col(tokens), p + i) for i in at)))
+
+    return F.concat(*(under(n, at) for n, at in enumerate(looked)))
+
+
+def _windows(frame: DataFrame, tokens: str, *columns: str) -> DataFrame:
+    """``columns`` with ``seed`` and ``place`` of every window and mask."""
+    # Token lists stay out of the rows that windows make, which are many.
+    long_enough = frame.where(F.size(tokens) >= SPAN).select(
+        *columns, (F.size(tokens) - SPAN + 1).alias("n_places"), _seeds(tokens).alias("seeds")
+    )
+    return long_enough.select(*columns, "n_places", F.posexplode("seeds").alias("place", "seed")).select(
+        *columns, "seed", (F.col("place") % F.col("n_places")).alias("place")
+    )
+
+
+def _joined(large: DataFrame, small: DataFrame, on: list[str], most: int) -> DataFrame:
+    """An inner join, ``small`` broadcast if it has at most ``most`` rows."""
+    return large.join(F.broadcast(small) if small.count() <= most else small, on)
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document (doc_id, text) and item (item_id, text) that overlap: ``doc_start`` and ``item_start``,
     the tokens where the best window starts, its ``n_tokens`` and how many of them are ``n_equal``."""
-    tests = benchmark.select("item_id", token_hashes(F.col("text")).alias("item_tokens")).distinct()
-    seeds = _seeds(tests, "item_tokens").select("seed", "item_id", F.col("place").alias("item_place"), "item_tokens")
-    few = seeds.count() <= BROADCAST_HASHES
-    training = documents.select("doc_id", token_hashes(F.col("text")).alias("doc_tokens"))
-    hits = _seeds(training, "doc_tokens").join(F.broadcast(seeds) if few else seeds, "seed")
-    # The item's first token lies on the document's token ``shift``; what of the item lies inside the document:
-    hits = hits.withColumn("shift", F.col("place") - F.col("item_place"))
+    scratch = Scratch(documents.sparkSession, "decontam")
+    tests = scratch.keep(
+        benchmark.select("item_id", token_hashes(F.col("text")).alias("item_tokens")).distinct()
+        .withColumn("item", F.xxhash64("item_id", "item_tokens")), "tests",
+    )
+    seeds = scratch.keep(
+        _windows(tests, "item_tokens", "item").withColumnRenamed("place", "item_place"), "seeds"
+    )
+    keys = document_key()
+    training = once(documents.select(*keys, "text"), "doc_tokens", token_hashes(F.col("text")))
+    hits = _joined(_windows(training, "doc_tokens", "doc", "doc_hash"), seeds, ["seed"], BROADCAST_HASHES)
+    # One row per document, item and alignment, however many windows of it hit: the item's first token lies on the
+    # document's token ``shift``.
+    hits = hits.select("doc", "doc_hash", "item", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+    hits = _joined(scratch.keep(hits, "hits"), tests, ["item"], BROADCAST_HASHES // 100)
+    hits = _joined(documents.select("doc_id", *keys, "text"), hits, ["doc", "doc_hash"], BROADCAST_HASHES // 100)
+    hits = once(hits, "doc_tokens", token_hashes(F.col("text")))
+    # What of the item lies inside the document:
     hits = hits.withColumn("skipped", F.greatest(-F.col("shift"), F.lit(0)))
     hits = hits.withColumn(
         "n",
@@ -66,18 +92,16 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.slice("item_tokens", F.col("skipped") + 1, F.col("n")),
         lambda a, b: (a == b).cast("int"),
     )
-    # One row per document, item and alignment, however many windows of it hit.
     aligned = hits.select("doc_id", "item_id", "shift", "skipped", "n", F.size("item_tokens").alias("of"), equal.alias("equal"))
-    aligned = aligned.distinct()
     width = F.least(F.lit(WINDOW), F.col("of"), F.col("n"))
     windows = F.transform(
         F.sequence(F.lit(0), F.col("n") - F.col("width")),
         lambda i: F.struct(
-            F.aggregate(F.slice("equal", i + 1, F.col("width")), F.lit(0), lambda a, b: a + b).alias("n_equal"),
+            F.aggregate(F.slice("equals", i + 1, F.col("width")), F.lit(0), lambda a, b: a + b).alias("n_equal"),
             (-i).alias("start"),
         ),
     )
-    best = aligned.withColumn("width", width).withColumn("best", F.array_max(windows))
+    best = once(once(aligned, "equals", F.col("equal")).withColumn("width", width), "best", F.array_max(windows))
     best = best.where(F.col("best.n_equal") >= SIMILARITY * F.least(F.lit(WINDOW), F.col("of")))
     start = -F.col("best.start") + F.col("skipped")
     order = F.struct(

@@ -1,13 +1,13 @@
 """Fuzzy line deduplication, in DataFrame operations only.
 
 Lines are normalised (lower-case runs of letters and digits, one space apart) and hashed to a
-63-bit SimHash of their words. Lines that agree in two of five blocks of its bits are
+63-bit SimHash of their words, weighted by their lengths as edits are. Lines that agree in two of five blocks of its bits are
 candidates, few of which remain after counting differing bits. Those left are verified by edit
 similarity, 1 less the distance over the longer length, of ``SIMILARITY`` or more. Of every connected group of
 lines the first occurrence, by document and line number, stays.
 
 Counting words' bits: a number holds three counters of 21 bits, so 21 sums over a line's words count 63 bits.
-Lines of more than 2^21 words are therefore only sure to be found if they are equal.
+Lines of more than 2^21 characters are therefore only sure to be found if they are equal.
 
 Lines occur as numbers in all joins; texts are fetched for candidates only, and of all texts only the documents
 meet their list of removed lines in a shuffle. A line that a third of all documents share is a partial
@@ -26,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tariffscope.llm.common import Scratch, document_key
+from tariffscope.llm.common import Scratch, document_key, once
 from tariffscope.llm.links import components, leader_links
 
 SIMILARITY = 0.95
@@ -46,17 +46,20 @@ def normalised(line: Column | str) -> Column:
 def lines_of(documents: DataFrame) -> DataFrame:
     """doc, doc_hash, line_no and ``words`` (normalised) of every line that has any."""
     lines = documents.select(*document_key(), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc", "doc_hash", "line_no", normalised("line").alias("words")).where("words != ''")
+    return once(lines, "words", normalised("line")).drop("line").where("words != ''")
 
 
 def simhashes(lines: DataFrame) -> DataFrame:
     """doc, doc_hash, line_no, ``line`` (a number for equal lines) and ``sim`` of each line."""
     words = lines.withColumn("line", F.xxhash64("words")).withColumn("word", F.explode(F.split("words", " ")))
-    hashed = words.select("doc", "doc_hash", "line_no", "line", F.xxhash64("word", F.lit(1)).alias("h"))
+    hashed = words.select(
+        "doc", "doc_hash", "line_no", "line", F.xxhash64("word", F.lit(1)).alias("h"), F.length("word").cast("long").alias("w")
+    )
     sums = [
-        F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(MASK))).alias(f"s{i}") for i in range(LANE_BITS)
+        F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(MASK)) * F.col("w")).alias(f"s{i}")
+        for i in range(LANE_BITS)
     ]
-    counted = hashed.groupBy("doc", "doc_hash", "line_no", "line").agg(*sums, F.count(F.lit(1)).alias("n"))
+    counted = hashed.groupBy("doc", "doc_hash", "line_no", "line").agg(*sums, F.sum("w").alias("n"))
     low = F.lit((1 << LANE_BITS) - 1)
     bits = [
         F.when(F.shiftrightunsigned(f"s{i}", LANE_BITS * k).bitwiseAND(low) * 2 > F.col("n"), 1 << (i + LANE_BITS * k)).otherwise(0)

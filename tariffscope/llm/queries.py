@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tariffscope.llm import decontam, lines, packing, toxicity, urls, warc
+from tariffscope.llm import decontam, lines, minhash, packing, suffix, toxicity, urls, warc
 from tariffscope.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page is labelled as the document of the same number; low quality is the bad outcome."""
     labels = table(spark, sf_dir, "labels").select(
@@ -25,6 +29,10 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), labels)
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -47,7 +55,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix": op1_suffix,
     "op2_urls": op2_urls,
+    "op3_minhash": op3_minhash,
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
     "op8_decontamination": op8_decontamination,
