@@ -35,7 +35,7 @@ MASK = sum(1 << LANE_BITS * k for k in range(LANES))
 # Blocks of the 63 bits: first bit and width.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 12), (51, 12))
 AGREEING = 2
-MOST_BITS = 14
+MOST_BITS = 12
 BROADCAST_LINES = 2_000_000
 
 
@@ -50,7 +50,7 @@ def lines_of(documents: DataFrame) -> DataFrame:
 
 
 def simhashes(lines: DataFrame) -> DataFrame:
-    """doc, doc_hash, line_no, ``line`` (a number for equal lines) and ``sim`` of each line."""
+    """doc, doc_hash, line_no, ``line`` (a number for equal lines), ``sim`` and ``size`` (characters) of each line."""
     words = lines.withColumn("line", F.xxhash64("words")).withColumn("word", F.explode(F.split("words", " ")))
     hashed = words.select(
         "doc", "doc_hash", "line_no", "line", F.xxhash64("word", F.lit(1)).alias("h"), F.length("word").cast("long").alias("w")
@@ -59,7 +59,7 @@ def simhashes(lines: DataFrame) -> DataFrame:
         F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(MASK)) * F.col("w")).alias(f"s{i}")
         for i in range(LANE_BITS)
     ]
-    counted = hashed.groupBy("doc", "doc_hash", "line_no", "line").agg(*sums, F.sum("w").alias("n"))
+    counted = hashed.groupBy("doc", "doc_hash", "line_no", "line").agg(*sums, F.sum("w").alias("n"), F.count(F.lit(1)).alias("words"))
     low = F.lit((1 << LANE_BITS) - 1)
     bits = [
         F.when(F.shiftrightunsigned(f"s{i}", LANE_BITS * k).bitwiseAND(low) * 2 > F.col("n"), 1 << (i + LANE_BITS * k)).otherwise(0)
@@ -69,7 +69,7 @@ def simhashes(lines: DataFrame) -> DataFrame:
     sim = bits[0].cast("long")
     for bit in bits[1:]:
         sim = sim.bitwiseOR(bit.cast("long"))
-    return counted.select("doc", "doc_hash", "line_no", "line", sim.alias("sim"))
+    return counted.select("doc", "doc_hash", "line_no", "line", sim.alias("sim"), F.expr("n + words - 1").alias("size"))
 
 
 def _block_keys(sim: str) -> Column:
@@ -89,7 +89,11 @@ def _alike(a: str, b: str) -> Column:
 
 def groups_of_lines(documents: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
     """``line`` and its ``root`` for lines linked to others; ``lines`` is as simhashes() gives it."""
-    distinct = scratch.keep(lines.groupBy("line").agg(F.min("sim").alias("sim")), "distinct")
+    # In a shorter line, a single edit is too many: only equal lines are alike, and those are one line here.
+    editable = lines.where(f"floor({1 - SIMILARITY:.6f} * size + 1e-9) >= 1")
+    distinct = scratch.keep(
+        editable.groupBy("line").agg(F.min("sim").alias("sim"), F.min("size").alias("size")), "distinct"
+    )
     # Lines of one SimHash are compared with the first of them, which stands for it elsewhere.
     firsts = scratch.keep(distinct.groupBy("sim").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n")), "firsts")
 
@@ -106,6 +110,12 @@ def groups_of_lines(documents: DataFrame, lines: DataFrame, scratch: Scratch) ->
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs of lines (a, b) that are alike."""
         n = next(calls)
+        sizes = distinct.select("line", "size")
+        pairs = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
+        near = f"abs(size_a - size_b) <= floor({1 - SIMILARITY:.6f} * greatest(size_a, size_b) + 1e-9)"
+        pairs = scratch.keep(pairs.where(near).select("a", "b"), f"near{n}")
+        if pairs.isEmpty():
+            return pairs
         wanted = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
         words = scratch.keep(texts(scratch.keep(wanted, f"wanted{n}")), f"texts{n}")
         return (

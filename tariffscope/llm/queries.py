@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tariffscope.llm import decontam, lines, minhash, packing, suffix, toxicity, urls, warc
+from tariffscope.llm import ann, decontam, lines, minhash, packing, suffix, toxicity, urls, warc
 from tariffscope.llm.common import table
 
 
@@ -41,6 +41,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return ann.nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
+    "op7_neighbours": op7_neighbours,
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_lines": op10_lines,
