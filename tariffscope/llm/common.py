@@ -49,8 +49,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def once(df: DataFrame, name: str, column: Column) -> DataFrame:
     """``df`` with a column that is computed once a row, however often it is used afterwards:
-    the optimizer copies an expression into its uses, but not through a generator."""
-    return df.select("*", F.explode(F.array(column)).alias(name))
+    the optimizer copies an expression into its uses, but not through a generator. (For generators that are not
+    outer ones it also adds filters, which compute their lists once more.)"""
+    return df.select("*", F.explode_outer(F.array(column)).alias(name))
 
 
 def document_key() -> tuple[Column, Column]:

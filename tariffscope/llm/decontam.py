@@ -51,7 +51,7 @@ def _windows(frame: DataFrame, tokens: str, *columns: str) -> DataFrame:
     long_enough = frame.where(F.size(tokens) >= SPAN).select(
         *columns, (F.size(tokens) - SPAN + 1).alias("n_places"), _seeds(tokens).alias("seeds")
     )
-    return long_enough.select(*columns, "n_places", F.posexplode("seeds").alias("place", "seed")).select(
+    return long_enough.select(*columns, "n_places", F.posexplode_outer("seeds").alias("place", "seed")).select(
         *columns, "seed", (F.col("place") % F.col("n_places")).alias("place")
     )
 

@@ -45,13 +45,15 @@ def normalised(line: Column | str) -> Column:
 
 def lines_of(documents: DataFrame) -> DataFrame:
     """doc, doc_hash, line_no and ``words`` (normalised) of every line that has any."""
-    lines = documents.select(*document_key(), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = documents.where("text is not null").select(
+        *document_key(), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")
+    )
     return once(lines, "words", normalised("line")).drop("line").where("words != ''")
 
 
 def simhashes(lines: DataFrame) -> DataFrame:
     """doc, doc_hash, line_no, ``line`` (a number for equal lines), ``sim`` and ``size`` (characters) of each line."""
-    words = lines.withColumn("line", F.xxhash64("words")).withColumn("word", F.explode(F.split("words", " ")))
+    words = lines.withColumn("line", F.xxhash64("words")).withColumn("word", F.explode_outer(F.split("words", " ")))
     hashed = words.select(
         "doc", "doc_hash", "line_no", "line", F.xxhash64("word", F.lit(1)).alias("h"), F.length("word").cast("long").alias("w")
     )
@@ -132,7 +134,7 @@ def groups_of_lines(documents: DataFrame, lines: DataFrame, scratch: Scratch) ->
         )
         return named.join(verified(named.select("a", "b")), ["a", "b"]).select("node", "leader")
 
-    members = firsts.select(F.explode(_block_keys("sim")).alias("bucket"), F.col("sim").alias("node"))
+    members = firsts.select(F.explode_outer(_block_keys("sim")).alias("bucket"), F.col("sim").alias("node"))
     close = F.expr(f"bit_count(node ^ leader) <= {MOST_BITS}")
     by_hash = leader_links(members, verified_hashes, scratch, close)
     line_links = (
