@@ -20,6 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark, named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to a new shared folder and read back. They cut the lineage: what
     follows neither recomputes what came before nor depends on any one executor."""
@@ -32,7 +35,13 @@ class Scratch:
         return f"{self.folder}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(self.path(name))
+        """``df`` stored; the shuffle files of making it go at once, nothing reads them again."""
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(self.path(name))
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -174,7 +174,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     removed = removed_lines(documents).toDF("_doc", "_hash", "_removed")
     doc, doc_hash = document_key()
     keyed = documents.withColumns({"_doc": doc, "_hash": doc_hash})
-    joined = keyed.join(removed, ["_doc", "_hash"], "left")
+    joined = keyed.join(removed.hint("shuffle_hash"), ["_doc", "_hash"], "left")
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
     text = F.when(

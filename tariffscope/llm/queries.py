@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tariffscope.llm import ann, decontam, lines, minhash, packing, suffix, toxicity, urls, warc
+from tariffscope.llm import ann, chat, decontam, lines, minhash, packing, suffix, toxicity, urls, warc
 from tariffscope.llm.common import table
 
 
@@ -33,6 +33,12 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations written as transcripts and parsed again by a model learned from four fifths of them."""
+    lines = chat.transcript_lines(table(spark, sf_dir, "conversations"))
+    return chat.turns(lines, chat.learn(lines.where(~chat.is_held_out())))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix": op1_suffix,
     "op2_urls": op2_urls,
     "op3_minhash": op3_minhash,
+    "op4_chat": op4_chat,
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
     "op7_neighbours": op7_neighbours,

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tariffscope.llm.common import Scratch, document_key
 from tariffscope.llm.hashing import Prefixes, as_signed, mix
 
-LENGTH, WINDOW, GRAM = 400, 128, 16
+LENGTH, WINDOW, GRAM = 400, 150, 16
 REACH = LENGTH - (WINDOW + GRAM - 1) - (WINDOW - 1)
 
 
@@ -46,10 +46,11 @@ def samples_of(prefixes: Prefixes) -> np.ndarray:
     place = np.arange(len(value), dtype=np.int64)
     width = 1
     while width < WINDOW:
-        later = value[width:] < value[:-width]
-        place = np.where(later, place[width:], place[:-width])
-        value = np.where(later, value[width:], value[:-width])
-        width *= 2
+        step = min(width, WINDOW - width)
+        later = value[step:] < value[:-step]
+        place = np.where(later, place[step:], place[:-step])
+        value = np.where(later, value[step:], value[:-step])
+        width += step
     return place
 
 
@@ -106,38 +107,45 @@ def _batch(made: list) -> pa.RecordBatch:
 
 
 KEY = ["doc", "doc_hash"]
+BROADCAST_KEYS = 1_000_000
 
 
 def _repeated(rows: DataFrame, *names: str) -> DataFrame:
-    """``rows`` whose ``names`` occur more than once."""
+    """``rows`` whose ``names`` occur more than once. The smaller side is hashed, so that rows need no sorting."""
     often = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    return rows.join(often, list(names), "left_semi")
+    return rows.join(often.hint("shuffle_hash"), list(names), "left_semi")
 
 
-def repeated_cores(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc, doc_hash, nth and ``core`` of the anchors whose cores occur more than once, by doubling."""
-    ranks = scratch.keep(
-        _repeated(found.where("unit != 0").select(*KEY, "nth", "units", F.col("unit").alias("rank")), "rank"), "ranks0"
-    )
-    done = None
+def repeated_cores(units: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc, doc_hash, nth and ``core`` of the anchors whose cores occur more than once, by doubling over ``units``
+    (doc, doc_hash, nth, units, unit), those of units that occur more than once."""
+    ranks, done = units.select(*KEY, "nth", "units", F.col("unit").alias("rank")), None
     for n in count():
         offset = 1 << n
         # Cores of offset to 2 * offset - 1 units: two ranks that overlap cover them.
-        ends = ranks.select(*KEY, F.col("nth").alias("end"), F.col("rank").alias("end_rank"))
-        ready = (
-            ranks.where(f"units >= {offset} and units < {2 * offset}")
-            .withColumn("end", F.col("nth") + F.col("units") - offset).join(ends, [*KEY, "end"])
-            .select(*KEY, "nth", F.xxhash64("rank", "end_rank", "units").alias("core"))
-        )
+        ends = ranks.select(*KEY, F.col("nth").alias("end"), F.col("rank").alias("end_rank")).hint("shuffle_hash")
+        ready = ranks.where(f"units >= {offset} and units < {2 * offset}")
+        if offset == 1:
+            ready = ready.select(*KEY, "nth", F.xxhash64("rank", "units").alias("core"))
+        else:
+            ready = (
+                ready.withColumn("end", F.col("nth") + F.col("units") - offset).join(ends, [*KEY, "end"])
+                .select(*KEY, "nth", F.xxhash64("rank", "end_rank", "units").alias("core"))
+            )
         ready = scratch.keep(ready, f"cores{n}")
         done = ready if done is None else done.union(ready)
-        if ranks.where(f"units >= {2 * offset}").isEmpty():
+        # Later rounds are for documents that have longer cores: few, where a short string repeats at once.
+        longer = scratch.keep(ranks.where(f"units >= {2 * offset}").select(*KEY).distinct(), f"longer{n}")
+        if longer.isEmpty():
             return _repeated(done, "core")
         pairs = (
-            ranks.withColumn("end", F.col("nth") + offset).join(ends, [*KEY, "end"])
+            ranks.join(longer.hint("shuffle_hash"), KEY, "left_semi")
+            .withColumn("end", F.col("nth") + offset).join(ends, [*KEY, "end"])
             .select(*KEY, "nth", "units", F.xxhash64("rank", "end_rank").alias("rank"))
         )
-        ranks = scratch.keep(_repeated(scratch.keep(pairs, f"pairs{n}"), "rank"), f"ranks{n + 1}")
+        pairs = scratch.keep(pairs, f"pairs{n}")
+        ranks = scratch.keep(_repeated(pairs, "rank"), f"ranks{n + 1}")
+        scratch.drop(f"pairs{n}", *([f"ranks{n}"] if n else []))
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,17 +177,28 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     """doc, doc_hash and ``spans``, starts and ends of bytes that lie in repeated strings, of documents that have any."""
     scratch = Scratch(documents.sparkSession, "suffix")
     texts = documents.select(*document_key(), "text").where("text is not null")
+    # Rows that repeat a document have one key. They repeat each other whole, and stand for one text from here on.
+    again = scratch.keep(texts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEY), "again")
+    whole = None
+    if not again.isEmpty():
+        small = F.broadcast(again) if again.count() <= BROADCAST_KEYS else again
+        once_more = scratch.keep(texts.join(small, KEY, "left_semi").dropDuplicates(KEY), "copies")
+        texts = texts.join(small, KEY, "left_anti").union(once_more)
+        whole = once_more.where(F.octet_length("text") >= LENGTH).select(
+            *KEY, F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")
+        )
     fields = "doc long, doc_hash long, nth long, at long, low long, high long, unit long, units long, context long"
     found = scratch.keep(texts.mapInArrow(_anchors, fields), "anchors")
-    cores = scratch.keep(repeated_cores(found, scratch), "cores")
-    known = scratch.keep(
-        found.select(*KEY, "nth", "at", "low", "high", "context").join(cores, [*KEY, "nth"]).drop("nth"), "known"
-    )
+    units = scratch.keep(_repeated(found.where("unit != 0"), "unit"), "units")
+    scratch.drop("anchors")
+    cores = scratch.keep(repeated_cores(units, scratch), "cores")
+    known = scratch.keep(units.drop("unit", "units").join(cores.hint("shuffle_hash"), [*KEY, "nth"]).drop("nth"), "known")
+    scratch.drop("units", "cores")
     # One row for each distinct context of a core, and one place where it is.
     contexts = scratch.keep(
         known.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "at", "low", "high")).alias("one")), "contexts"
     )
-    settled = known.join(contexts.where("n > 1").select("core", "context"), ["core", "context"], "left_semi").select(
+    settled = known.join(contexts.where("n > 1").select("core", "context").hint("shuffle_hash"), ["core", "context"], "left_semi").select(
         *KEY, F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end")
     )
     listed = (
@@ -187,17 +206,16 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
         .select("one.*", "core", (F.col("n") > 1).cast("int").alias("many"))
         .groupBy(*KEY).agg(F.collect_list(F.struct("core", "at", "low", "high", "many")).alias("anchors"))
     )
-    # Rows that repeat a document have one key; its strings are listed once.
-    chosen = texts.join(listed, KEY).dropDuplicates(KEY)
     strings = scratch.keep(
-        chosen.mapInArrow(_strings, "doc long, doc_hash long, start long, core long, name long, many long"), "strings"
+        texts.join(listed.hint("shuffle_hash"), KEY).mapInArrow(_strings, "doc long, doc_hash long, start long, core long, name long, many long"), "strings"
     )
     shared = strings.groupBy("core", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     single = (
-        strings.where("many = 0").join(shared, ["core", "name"], "left_semi")
+        strings.where("many = 0").join(shared.hint("shuffle_hash"), ["core", "name"], "left_semi")
         .select(*KEY, "start", (F.col("start") + LENGTH).alias("end"))
     )
     spans = settled.union(single)
+    spans = spans if whole is None else spans.union(whole)
     return spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
@@ -239,7 +257,7 @@ def without_repeats(documents: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, unless left out, the bytes ``kept`` of every document
     (doc_id, text) after the removal of all bytes that lie in a repeated string."""
     spans = repeated_spans(documents)
-    rows = documents.select(F.col("doc_id").cast("long"), "text", *document_key()).join(spans, KEY, "left")
+    rows = documents.select(F.col("doc_id").cast("long"), "text", *document_key()).join(spans.hint("shuffle_hash"), KEY, "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return rows.select("doc_id", "text", "spans").mapInArrow(
         lambda batches: _removed(batches, with_text), schema + (", kept binary" if with_text else "")

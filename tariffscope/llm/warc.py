@@ -38,6 +38,7 @@ SEPARATOR = "\x00"
 DATE = "2026-01-01T00:00:00Z"
 RANGE_BYTES = 8 << 20
 STEP = 1 << 18
+MOST_TASKS = 100_000
 
 
 def payload_digest(payload: bytes) -> str:
@@ -197,8 +198,9 @@ def read(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES, with_
         "path", F.explode(F.expr(f"sequence(0L, length - 1, {range_bytes}L)")).alias("start")
     ).withColumn("stop", F.col("start") + range_bytes)
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    # One row per range: deal them out evenly before any is read.
-    return ranges.repartition(F.xxhash64("path", "start")).mapInArrow(
+    # Rows are small and their work is not: a number of tasks that adaptive execution doesn't merge.
+    tasks = max(1, min(ranges.count(), MOST_TASKS))
+    return ranges.repartition(tasks, F.xxhash64("path", "start")).mapInArrow(
         lambda batches: _read_ranges(batches, with_payload), schema + (", payload binary" if with_payload else "")
     )
 
