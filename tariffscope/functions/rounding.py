@@ -9,20 +9,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _exact(x: Column) -> Column:
-    """``x`` to ten places; NULL where it is not a number, as a mean of nothing is."""
+# From here on a double has no decimals left to round.
+WHOLE_FROM = 1e17
+
+
+def _rounded(x: Column, round_decimal) -> Column:
+    """``x`` rounded from ten places; NULL where it is not a number, as a mean of nothing is."""
     number = F.nanvl(x.cast("double"), F.lit(None).cast("double"))
-    return number.cast("decimal(28,10)")
+    decimal = F.when(F.abs(number) < WHOLE_FROM, number).cast("decimal(28,10)")
+    return F.when(F.abs(number) < WHOLE_FROM, round_decimal(decimal).cast("double")).otherwise(number)
 
 
 def half_up(x: Column, places: int) -> Column:
     """Round half away from zero (SQL and spreadsheet ROUND)."""
-    return F.round(_exact(x), places).cast("double")
+    return _rounded(x, lambda decimal: F.round(decimal, places))
 
 
 def half_even(x: Column, places: int) -> Column:
     """Round half to the even neighbour (pandas ``round``)."""
-    return F.bround(_exact(x), places).cast("double")
+    return _rounded(x, lambda decimal: F.bround(decimal, places))
 
 
 def ratio(a: Column, b: Column) -> Column:

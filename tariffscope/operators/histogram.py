@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 def equal_width_histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
     """(bin, lo, hi, count) over the values' own range; the last bin is closed.
 
-    Missing values are left out, empty bins are kept, and a range of one single
-    value is widened by half a unit to each side.
+    Missing values and those that are not numbers are left out, empty bins are kept, and a range of
+    one single value is widened by half a unit to each side, or by a billionth of a large value.
     """
-    values = rows.filter(F.col(value).isNotNull()).select(F.col(value).alias("value"))
+    values = rows.select(F.col(value).cast("double").alias("value")).filter(
+        F.col("value").isNotNull() & ~F.isnan("value")
+    )
     least, most = F.min("value"), F.max("value")
-    widened = F.when(least == most, F.lit(0.5)).otherwise(F.lit(0.0))
+    wide = F.greatest(F.lit(0.5), F.abs(least) * 1e-9)
+    widened = F.when(least == most, wide).otherwise(F.lit(0.0))
     span = values.agg((least - widened).alias("lo"), (most + widened).alias("hi")).select(
         F.struct("lo", ((F.col("hi") - F.col("lo")) / bins).alias("width")).alias("span")
     )

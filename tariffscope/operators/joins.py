@@ -5,47 +5,23 @@ from pyspark.sql import functions as F
 
 from ..sources.catalogue import is_small
 
-# A key with more than this share of the rows is heavy; so at most 1 / share keys are.
-HEAVY_SHARE = 0.01
-
-
-def heavy_keys(rows: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
-    """Every key that holds more than ``share`` of the rows, and perhaps some others.
-
-    Found in one pass over the key column with at most 1 / share counters, which also
-    bounds the number of keys returned.
-    """
-    frequent = rows.filter(F.col(key).isNotNull()).freqItems([key], share)
-    return frequent.select(F.explode(f"{key}_freqItems").alias(key))
-
 
 def join_lookup(
-    rows: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    how: str = "inner",
-    small: bool | None = None,
-    share: float = HEAVY_SHARE,
+    rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", small: bool | None = None
 ) -> DataFrame:
     """``rows`` joined ("inner" or "left") to ``lookup``, which holds each key at most once.
 
     A lookup known to be small (``small``; None checks its size) is broadcast.  Beyond
-    that, one key may hold a large part of all rows, which would all go to one task, so
-    rows of heavy keys are joined apart: the lookup's few rows for them are broadcast and
-    the rows stay where they are.  Only the other rows are shuffled.  In a left join rows
-    without a key, which could be as many, stay where they are too.
+    that, one key may hold a large part of all rows, which would all go to one task:
+    adaptive execution, which ``session`` turns on, splits such partitions.  In a left join
+    rows without a key, which could be as many, stay where they are.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"join_lookup cannot do a {how} join")
     if is_small(lookup) if small is None else small:
         return rows.join(F.broadcast(lookup), key, how)
-
-    heavy = F.broadcast(heavy_keys(rows, key, share))
-    heavy_lookup = F.broadcast(lookup.join(heavy, key, "left_semi"))
-    light = rows.filter(F.col(key).isNotNull()).join(heavy, key, "left_anti")
-    light = light.join(lookup, key, how)
+    joined = rows.filter(F.col(key).isNotNull()).join(lookup, key, how)
     if how == "inner":
-        return rows.join(heavy_lookup, key).unionByName(light)
-    in_heavy = rows.join(heavy, key, "left_semi")
-    without_key = rows.filter(F.col(key).isNull())
-    return in_heavy.unionByName(without_key).join(heavy_lookup, key, "left").unionByName(light)
+        return joined
+    missing = (F.lit(None).cast(f.dataType).alias(f.name) for f in lookup.schema if f.name != key)
+    return joined.unionByName(rows.filter(F.col(key).isNull()).select("*", *missing))

@@ -104,16 +104,14 @@ def category_leaders(c: Catalogue, ordered: bool = True) -> DataFrame:
     The best ratings are joined back to the rows, so that the leaders of a category,
     which may be many, are never brought together in one task as by a window.
     """
-    rated = _with_category(
-        c,
-        c.entity.filter(F.col("overall_rating").isNotNull()).select(
-            "entity_id", "category_id", "name", "overall_rating"
-        ),
+    rated = c.entity.filter(F.col("overall_rating").isNotNull()).select(
+        "entity_id", "category_id", "name", "overall_rating"
     )
     best = rated.groupBy("category_id").agg(F.max("overall_rating").alias("best_rating"))
     leaders = join_lookup(rated, best, "category_id", small=c.category_is_small).filter(
         F.col("overall_rating") == F.col("best_rating")
     )
+    leaders = _with_category(c, leaders.drop("best_rating"))
     return in_order(leaders, ordered, F.desc("overall_rating"), "entity_id").select(
         "category", F.col("name").alias("top_product"), "overall_rating"
     )

@@ -1,6 +1,6 @@
 """Statistics over the marts.  Each is one small aggregate of the entity mart."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
@@ -44,18 +44,18 @@ def _correlation(rows: DataFrame, x: str, y: str, alpha: float) -> DataFrame:
     r, n = F.col("r"), F.col("n")
     # Not F.corr, which fails where a column is constant.
     correlation = ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    unexplained = F.greatest(1 - r * r, F.lit(0.0))  # r may exceed 1 in its last digit
+    correlation = F.when(F.abs(correlation) > 1, F.signum(correlation)).otherwise(correlation)  # by its last digit
+    perfect, two = (F.abs(r) == 1) & (F.col("df") > 0), F.col("n") == 2
+    t = F.when(perfect, F.signum(r) * F.lit(float("inf"))).otherwise(r * F.sqrt(ratio(F.col("df"), 1 - r * r)))
     test = (
         rows.agg(F.count("*").alias("n"), correlation.alias("r"))
         .withColumn("df", n - 2)
-        .withColumn("t", r * F.sqrt(ratio(F.col("df"), unexplained)))
+        .withColumn("t", t)
         .withColumn("p", t_two_sided("t", "df"))
+        # A perfect line through more than two points is certain; two points always lie on one.
+        .withColumn("p", F.when(r.isNull(), None).when(perfect, 0.0).when(two, 1.0).otherwise(F.col("p")))
     )
-    return test.select(
-        "n",
-        *(half_up(F.col(name), 6).alias(name) for name in ("r", "t", "p")),
-        (F.col("p") < alpha).alias("significant"),
-    )
+    return test.select("n", "r", "t", "p", (F.col("p") < alpha).alias("significant"))
 
 
 def price_rating_correlation(mart: DataFrame, alpha: float = fixed.ALPHA) -> DataFrame:
@@ -73,8 +73,7 @@ def rating_anova(
 ) -> DataFrame:
     """Does the mean rating differ between categories?  One-way analysis of variance.
 
-    Rows are reduced to size, mean and variance per category; the rest works on these
-    few, which is why a window over all of them is fine.
+    Rows are reduced to size, mean and variance per category, and these to one row.
     """
     groups = (
         mart.dropna(subset=["category_slug", "overall_rating"])
@@ -86,10 +85,7 @@ def rating_anova(
         )
         .filter(F.col("n") >= min_rated)
     )
-    together = Window.partitionBy(F.lit(1))
-    grand_mean = ratio(
-        F.sum(F.col("n") * F.col("mean")).over(together), F.sum("n").over(together)
-    )
+    grand_mean = groups.select(ratio(F.sum(F.col("n") * F.col("mean")), F.sum("n"))).scalar()
     deviation = F.col("mean") - grand_mean
     squares = (
         groups.withColumn("between", F.col("n") * deviation * deviation)
@@ -102,19 +98,15 @@ def rating_anova(
         .withColumn("df_between", F.col("groups") - 1)
         .withColumn("df_within", F.col("n") - F.col("groups"))
     )
-    test = squares.withColumn(
-        "f",
-        ratio(
-            ratio(F.col("between"), F.col("df_between")), ratio(F.col("within"), F.col("df_within"))
-        ),
-    ).withColumn("p", f_upper("f", "df_between", "df_within"))
-    return test.select(
-        "df_between",
-        "df_within",
-        half_up(F.col("f"), 6).alias("f"),
-        half_up(F.col("p"), 6).alias("p"),
-        (F.col("p") < alpha).alias("significant"),
+    # Means that differ while no category varies within itself: certain.
+    certain = (F.col("within") == 0) & (F.col("between") > 0) & (F.col("df_within") > 0)
+    f = ratio(
+        ratio(F.col("between"), F.col("df_between")), ratio(F.col("within"), F.col("df_within"))
+    )
+    test = squares.withColumn("f", F.when(certain, float("inf")).otherwise(f)).withColumn(
+        "p", F.when(certain, 0.0).otherwise(f_upper("f", "df_between", "df_within"))
     )
+    return test.select("df_between", "df_within", "f", "p", (F.col("p") < alpha).alias("significant"))
 
 
 def price_histogram(mart: DataFrame, bins: int = fixed.HISTOGRAM_BINS) -> DataFrame:
@@ -129,7 +121,7 @@ def price_rating_line(mart: DataFrame) -> DataFrame:
         "intercept": F.regr_intercept("overall_rating", "entry_price"),
         "r2": F.regr_r2("overall_rating", "entry_price"),
     }
-    return _paired(mart).agg(*(half_up(value, 6).alias(name) for name, value in line.items()))
+    return _paired(mart).agg(*(value.alias(name) for name, value in line.items()))
 
 
 def value_leaders(mart: DataFrame, limit: int = 5) -> DataFrame:

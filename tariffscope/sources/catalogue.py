@@ -15,7 +15,8 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    return estimated_bytes(df) <= limit
+    """Whether Spark's estimate is below the limit; a size that can't be asked for isn't small."""
+    return hasattr(df, "_jdf") and estimated_bytes(df) <= limit
 
 
 @dataclass(frozen=True)

@@ -19,7 +19,10 @@ class RoleColumn:
     stored_type: str
 
     def from_stored(self):
-        return F.col(self.stored_as).cast(self.type).alias(self.name)
+        value = F.col(self.stored_as).cast(self.type)
+        if self.type == "double":  # not a number is no value; Spark would order it above all numbers
+            value = F.nanvl(value, F.lit(None).cast("double"))
+        return value.alias(self.name)
 
 
 def _column(name: str, type: str, stored_as: str | None = None, stored_type: str | None = None):

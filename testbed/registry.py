@@ -3,7 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tariffscope.functions.rounding import half_up
 from tariffscope.plans import jobs, marts, quality
 from tariffscope.sources.catalogue import Catalogue
 from tariffscope.sources.loading import first_wins
@@ -58,6 +60,25 @@ _SOURCES = (
 QUERIES: dict[str, Query] = {
     name: _query(name, plan, source) for plans, source in _SOURCES for name, plan in plans.items()
 }
+def _rounded(query: Query, places: int = 6) -> Query:
+    """Sums of doubles depend on their order, so results are compared to so many places."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = query(spark, sf_dir)
+        return rows.select(
+            *(half_up(F.col(c), places).alias(c) if t == "double" else c for c, t in rows.dtypes)
+        )
+
+    return run
+
+
+QUERIES |= {
+    name: _rounded(QUERIES[name])
+    for name in (
+        "stat_price_rating_corr", "stat_attribute_price_corr", "stat_rating_anova", "stat_price_rating_line",
+    )
+}
+
 # Customer names are unique; part names are not.
 QUERIES["dq_duplicate_keys"] = lambda spark, sf_dir: quality.duplicate_keys(
     b.part_slugs(spark, sf_dir)

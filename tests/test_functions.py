@@ -74,3 +74,9 @@ def test_f_of_two_groups_is_t_squared(spark):
 def test_undefined_tests_are_null(spark):
     df = spark.createDataFrame([(None, 5), (1.0, 0)], "t double, n int")
     assert rows_of(df.select(t_two_sided("t", "n"), f_upper("t", "n", "n"))) == [(None, None)] * 2
+
+
+def test_numbers_without_decimals_stay(spark):
+    df = spark.createDataFrame([(1e18,), (-3.5e200,), (float("inf"),), (1e16 + 2,), (float("nan"),)], "x double")
+    rounded = [tuple(r) for r in df.select(half_up(F.col("x"), 2), half_even(F.col("x"), 2)).collect()]
+    assert rounded == [(1e18,) * 2, (-3.5e200,) * 2, (float("inf"),) * 2, (1e16 + 2,) * 2, (None,) * 2]

@@ -73,11 +73,30 @@ def test_correlations(large_mart):
         assert 0 < p <= 1 and flag == (p < 0.05)
 
 
-def test_perfect_correlation_is_undefined_but_does_not_fail(spark, large_mart):
+def test_perfect_correlation_is_certain(spark, large_mart):
     df, _ = large_mart
-    doubled = df.withColumn("overall_rating", df.entry_price * 2)
-    [(_, r, _, _, _)] = rows_of(statistics.price_rating_correlation(doubled))
-    assert r == pytest.approx(1.0)
+    for factor, sign in ((2, 1), (-2, -1)):
+        line = df.withColumn("overall_rating", df.entry_price * factor)
+        [(_, r, t, p, flag)] = rows_of(statistics.price_rating_correlation(line))
+        assert r == pytest.approx(sign) and t * sign > 1e6 and p == pytest.approx(0, abs=1e-9) and flag
+    rows = [(True, float(x), float(2 * x), 1) for x in (1, 2, 3)]
+    exact = spark.createDataFrame(rows, "price_comparable boolean, entry_price double, overall_rating double, feature_count int")
+    assert rows_of(statistics.price_rating_correlation(exact)) == [(3, 1.0, float("inf"), 0.0, True)]
+    [(n, _, _, p, flag)] = rows_of(statistics.price_rating_correlation(exact.filter("entry_price < 3")))
+    assert (n, p, flag) == (2, 1.0, False)
+
+
+def test_categories_that_do_not_vary_within_differ_for_certain(spark):
+    rows = [(c, r) for c, r in (("a", 1.0), ("b", 2.0), ("c", 2.0)) for _ in range(6)]
+    df = spark.createDataFrame(rows, "category_slug string, overall_rating double")
+    assert rows_of(statistics.rating_anova(df)) == [(2, 15, float("inf"), 0.0, True)]
+
+
+def test_results_keep_their_precision(spark):
+    rows = [(True, x * 1e12, x * 1e-9 + (x % 2) * 1e-10) for x in range(1, 30)]
+    df = spark.createDataFrame(rows, "price_comparable boolean, entry_price double, overall_rating double")
+    [(slope, _, r2)] = rows_of(statistics.price_rating_line(df))
+    assert slope == pytest.approx(1e-21, rel=0.01) and 0.9 < r2 < 1
 
 
 def test_tests_on_constant_or_no_values_are_null(spark, large_mart):
@@ -200,6 +219,13 @@ def test_histogram_bins(spark):
     assert rows_of(equal_width_histogram(one, "v", 2)) == [(0, 9.5, 10.0, 0), (1, 10.0, 10.5, 1)]
 
 
+def test_histogram_of_large_constants_and_what_is_no_number(spark):
+    for value in (1e17, -1e300):
+        df = spark.createDataFrame([(value,), (float("nan"),), (None,), (value,)], "v double")
+        bars = rows_of(equal_width_histogram(df, "v", 4))
+        assert [b[3] for b in bars] == [0, 0, 2, 0] and bars[0][1] < value < bars[-1][2]
+
+
 @few_examples
 @given(s.lists(s.sampled_from(["x", "y", "z", None]), max_size=50))
 def test_shares_add_up(spark, values):
