@@ -108,7 +108,8 @@ def category_leaders(c: Catalogue, ordered: bool = True) -> DataFrame:
         "entity_id", "category_id", "name", "overall_rating"
     )
     best = rated.groupBy("category_id").agg(F.max("overall_rating").alias("best_rating"))
-    leaders = join_lookup(rated, best, "category_id", small=c.category_is_small).filter(
+    # Entities may name categories that the category table lacks, so its size says nothing here.
+    leaders = join_lookup(rated, best, "category_id").filter(
         F.col("overall_rating") == F.col("best_rating")
     )
     leaders = _with_category(c, leaders.drop("best_rating"))

@@ -145,7 +145,7 @@ def test_large_lookups_are_not_broadcast(stored, spark, monkeypatch):
                      quality.custom_offers, marts.offers_enriched):
             text = planned(plan(large))
             assert "SortMergeJoin" in text
-            assert not broadcast_parts(text)
+            assert not list(broadcast_parts(text))
 
 
 def test_half_of_the_rows_on_one_key_are_split(stored, spark, monkeypatch):
