@@ -9,8 +9,8 @@ lines the first occurrence, by document and line number, stays.
 Counting words' bits: a number holds three counters of 21 bits, so 21 sums over a line's words count 63 bits.
 Lines of more than 2^21 characters are therefore only sure to be found if they are equal.
 
-Lines occur as numbers in all joins; texts are fetched for candidates only, and of all texts only the documents
-meet their list of removed lines in a shuffle. A line that a third of all documents share is a partial
+Lines are normalised once and stored, and occur as numbers in all joins; texts are fetched for candidates only, and of
+all texts only the documents meet their list of removed lines in a shuffle. A line that a third of all documents share is a partial
 aggregate where groups are formed, and its occurrences are spread by adaptive execution where they meet their group.
 Within a bucket no pairs are formed but those with a leading line (``links.leader_links``).
 
@@ -44,16 +44,17 @@ def normalised(line: Column | str) -> Column:
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
-    """doc, doc_hash, line_no and ``words`` (normalised) of every line that has any."""
+    """doc, doc_hash, line_no, ``words`` (normalised) and ``line``, a number for equal ones, of every line that has any."""
     lines = documents.where("text is not null").select(
         *document_key(), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")
     )
-    return once(lines, "words", normalised("line")).drop("line").where("words != ''")
+    lines = once(lines, "words", normalised("line")).where("words != ''")
+    return lines.select("doc", "doc_hash", "line_no", F.xxhash64("words").alias("line"), "words")
 
 
 def simhashes(lines: DataFrame) -> DataFrame:
-    """doc, doc_hash, line_no, ``line`` (a number for equal lines), ``sim`` and ``size`` (characters) of each line."""
-    words = lines.withColumn("line", F.xxhash64("words")).withColumn("word", F.explode_outer(F.split("words", " ")))
+    """doc, doc_hash, line_no, line, ``sim`` and ``size`` (characters) of each line."""
+    words = lines.withColumn("word", F.explode_outer(F.split("words", " ")))
     hashed = words.select(
         "doc", "doc_hash", "line_no", "line", F.xxhash64("word", F.lit(1)).alias("h"), F.length("word").cast("long").alias("w")
     )
@@ -89,8 +90,9 @@ def _alike(a: str, b: str) -> Column:
     return F.expr(f"levenshtein({a}, {b}, {most}) >= 0")
 
 
-def groups_of_lines(documents: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """``line`` and its ``root`` for lines linked to others; ``lines`` is as simhashes() gives it."""
+def groups_of_lines(parsed: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """``line`` and its ``root`` for lines linked to others; ``parsed`` and ``lines`` are as lines_of() and simhashes()
+    give them."""
     # In a shorter line, a single edit is too many: only equal lines are alike, and those are one line here.
     editable = lines.where(f"floor({1 - SIMILARITY:.6f} * size + 1e-9) >= 1")
     distinct = scratch.keep(
@@ -101,9 +103,8 @@ def groups_of_lines(documents: DataFrame, lines: DataFrame, scratch: Scratch) ->
 
     def texts(wanted: DataFrame) -> DataFrame:
         """line and words of the ``wanted`` lines, each once."""
-        found = lines_of(documents).select(F.xxhash64("words").alias("line"), "words")
         few = wanted.count() <= BROADCAST_LINES
-        return found.join(F.broadcast(wanted) if few else wanted, "line", "left_semi").groupBy("line").agg(
+        return parsed.select("line", "words").join(F.broadcast(wanted) if few else wanted, "line", "left_semi").groupBy("line").agg(
             F.first("words").alias("words")
         )
 
@@ -145,7 +146,7 @@ def groups_of_lines(documents: DataFrame, lines: DataFrame, scratch: Scratch) ->
     members = distinct.join(firsts.where("n > 1").select("sim"), "sim").select(
         F.col("sim").alias("bucket"), F.col("line").alias("node")
     )
-    inner = Scratch(documents.sparkSession, "lines-equal")
+    inner = Scratch(parsed.sparkSession, "lines-equal")
     same = leader_links(
         members, lambda p: verified(p.toDF("a", "b")).toDF("node", "leader"), inner
     ).toDF("a", "b")
@@ -155,8 +156,9 @@ def groups_of_lines(documents: DataFrame, lines: DataFrame, scratch: Scratch) ->
 def removed_lines(documents: DataFrame) -> DataFrame:
     """doc, doc_hash and ``removed``, the numbers of its lines that repeat another, where there are any."""
     scratch = Scratch(documents.sparkSession, "lines")
-    lines = scratch.keep(simhashes(lines_of(documents)), "lines")
-    roots = groups_of_lines(documents, lines, scratch)
+    parsed = scratch.keep(lines_of(documents), "parsed")
+    lines = scratch.keep(simhashes(parsed), "lines")
+    roots = groups_of_lines(parsed, lines, scratch)
     placed = scratch.keep(
         lines.join(roots, "line", "left")
         .select("doc", "doc_hash", "line_no", F.coalesce("root", "line").alias("group")), "placed",
