@@ -260,8 +260,8 @@ def _scores(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.Record
             scores = []
             for text in part.column("text").to_pylist():
                 total, density = matcher.features(text)
-                level = coef[0] + coef[1] * total + coef[2] * density if coef else -math.inf
-                scores.append(1 / (1 + math.exp(-max(-700.0, level))))
+                level = coef[0] + coef[1] * total + coef[2] * density if coef else 0.0
+                scores.append(1 / (1 + math.exp(-max(-700.0, level))) if coef else 0.0)
             made = {"toxicity": pa.array(scores, pa.float64())}
             yield pa.RecordBatch.from_arrays([*part.columns, *made.values()], [*part.schema.names, *made])
 

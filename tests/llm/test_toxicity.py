@@ -16,7 +16,7 @@ def corpus(n=400, seed=5):
         if toxic:
             for _ in range(3):
                 words.insert(draw.randrange(len(words)), draw.choice(["grumbag", "Grumb4g", "gruмbag", "snarp"]))
-        elif k % 4 == 1:
+        elif k % 40 == 1:
             words[5:5] = ["snarp", "engine"]
         rows.append((k, " ".join(words)))
         labels.append((k, int(toxic)))
