@@ -40,6 +40,8 @@ MAX_TERMS = 4000
 SHORTEST, LONGEST = 4, 10
 LEAST_DOCUMENTS, LEAST_CONTEXTS, LEAST_WEIGHT = 3, 3, 2.5
 THRESHOLD = 0.7
+# Bounds a worker's memory, which it keeps while later stages run.
+COUNTED_AT_ONCE = 300
 EXCEPTIONS: tuple[str, ...] = ()
 # Letters of other scripts and digits, and the Latin letters they look like.
 LOOKALIKES = {
@@ -134,15 +136,17 @@ def _matcher(model: str) -> Matcher:
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either class that hold a term, for each batch."""
+    """Documents of either class that hold a term, for some documents at a time."""
     for batch in batches:
-        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            counts[toxic].update({t for w in set(fold(text).split()) for t in terms_of(w)})
-        terms = list(counts[0] | counts[1])
-        columns = [pa.array(terms, pa.string())]
-        columns += [pa.array([counts[k][t] for t in terms], pa.int64()) for k in (1, 0)]
-        yield pa.RecordBatch.from_arrays(columns, ["term", "toxic", "clean"])
+        for at in range(0, batch.num_rows, COUNTED_AT_ONCE):
+            part = batch.slice(at, COUNTED_AT_ONCE)
+            counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+            for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
+                counts[toxic].update({t for w in set(fold(text).split()) for t in terms_of(w)})
+            terms = list(counts[0] | counts[1])
+            columns = [pa.array(terms, pa.string())]
+            columns += [pa.array([counts[k][t] for t in terms], pa.int64()) for k in (1, 0)]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "toxic", "clean"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
