@@ -10,7 +10,8 @@ the smallest hash (leftmost among equals). So equal strings are sampled alike:
 * from the anchor on, samples up to the first one ``REACH`` bytes later or more are inside the string.
 
 The units up to there are an anchor's core. A string that occurs twice has an anchor whose core does; doubling
-finds these, and stops at cores that are unique or complete. Then the strings that belong to an anchor, at most WINDOW neighbouring starts, are
+finds these, and stops at cores that are unique or complete; cores of MANY_UNITS units or more, where a short string
+repeats at once, are named in one step instead of many rounds. Then the strings that belong to an anchor, at most WINDOW neighbouring starts, are
 judged together: if all the bytes they cover occur elsewhere too, all repeat. Where contexts of
 one core differ, as at the ends of repeated passages, each of its contexts' strings is compared with the others, once for each distinct context.
 
@@ -37,6 +38,8 @@ from tariffscope.llm.common import Scratch, document_key
 from tariffscope.llm.hashing import Prefixes, as_signed, mix
 
 LENGTH, WINDOW, GRAM = 400, 150, 16
+# Cores of so many units or more lie in text that repeats at once; they get their names in one step.
+MANY_UNITS = 8
 REACH = LENGTH - (WINDOW + GRAM - 1) - (WINDOW - 1)
 
 
@@ -74,7 +77,13 @@ def anchors(text: bytes) -> dict[str, np.ndarray]:
     context[owns] = mix(
         prefixes.between(first[owns], high[owns] + LENGTH) + (at - first)[owns].astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
     )
-    return {"at": at, "low": first, "high": np.where(owns, high, -1), "unit": unit, "units": np.where(owns, units, 0), "context": context}
+    core = np.zeros(len(at), np.uint64)
+    many = np.flatnonzero(owns & (units >= MANY_UNITS))
+    core[many] = prefixes.between(at[many], at[many + units[many]] + GRAM)
+    return {
+        "at": at, "low": first, "high": np.where(owns, high, -1), "unit": unit, "units": np.where(owns, units, 0),
+        "context": context, "whole": core,
+    }
 
 
 def _utf8(text: str | None) -> bytes:
@@ -82,7 +91,7 @@ def _utf8(text: str | None) -> bytes:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("at", "low", "high", "unit", "units", "context")
+    names = ("at", "low", "high", "unit", "units", "context", "whole")
     for batch in batches:
         made, size = [], 0
         rows = zip(batch.column("doc").to_pylist(), batch.column("doc_hash").to_pylist(), batch.column("text"))
@@ -102,7 +111,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _batch(made: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(np.concatenate(c)) for c in zip(*made)],
-        ["doc", "doc_hash", "nth", "at", "low", "high", "unit", "units", "context"],
+        ["doc", "doc_hash", "nth", "at", "low", "high", "unit", "units", "context", "whole"],
     )
 
 
@@ -118,8 +127,9 @@ def _repeated(rows: DataFrame, *names: str) -> DataFrame:
 
 def repeated_cores(units: DataFrame, scratch: Scratch) -> DataFrame:
     """doc, doc_hash, nth and ``core`` of the anchors whose cores occur more than once, by doubling over ``units``
-    (doc, doc_hash, nth, units, unit), those of units that occur more than once."""
-    ranks, done = units.select(*KEY, "nth", "units", F.col("unit").alias("rank")), None
+    (doc, doc_hash, nth, units, unit, whole), those of units that occur more than once."""
+    ranks = units.select(*KEY, "nth", "units", F.col("unit").alias("rank"))
+    done = units.where(f"units >= {MANY_UNITS}").select(*KEY, "nth", F.xxhash64("whole", "units").alias("core"))
     for n in count():
         offset = 1 << n
         # Cores of offset to 2 * offset - 1 units: two ranks that overlap cover them.
@@ -133,9 +143,10 @@ def repeated_cores(units: DataFrame, scratch: Scratch) -> DataFrame:
                 .select(*KEY, "nth", F.xxhash64("rank", "end_rank", "units").alias("core"))
             )
         ready = scratch.keep(ready, f"cores{n}")
-        done = ready if done is None else done.union(ready)
-        # Later rounds are for documents that have longer cores: few, where a short string repeats at once.
-        longer = scratch.keep(ranks.where(f"units >= {2 * offset}").select(*KEY).distinct(), f"longer{n}")
+        done = done.union(ready)
+        # Later rounds are for documents that have longer cores.
+        longer = ranks.where(f"units >= {2 * offset} and units < {MANY_UNITS}").select(*KEY).distinct()
+        longer = scratch.keep(longer, f"longer{n}")
         if longer.isEmpty():
             return _repeated(done, "core")
         pairs = (
@@ -187,12 +198,12 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
         whole = once_more.where(F.octet_length("text") >= LENGTH).select(
             *KEY, F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")
         )
-    fields = "doc long, doc_hash long, nth long, at long, low long, high long, unit long, units long, context long"
+    fields = "doc long, doc_hash long, nth long, at long, low long, high long, unit long, units long, context long, whole long"
     found = scratch.keep(texts.mapInArrow(_anchors, fields), "anchors")
     units = scratch.keep(_repeated(found.where("unit != 0"), "unit"), "units")
     scratch.drop("anchors")
     cores = scratch.keep(repeated_cores(units, scratch), "cores")
-    known = scratch.keep(units.drop("unit", "units").join(cores.hint("shuffle_hash"), [*KEY, "nth"]).drop("nth"), "known")
+    known = scratch.keep(units.drop("unit", "units", "whole").join(cores.hint("shuffle_hash"), [*KEY, "nth"]).drop("nth"), "known")
     scratch.drop("units", "cores")
     # One row for each distinct context of a core, and one place where it is.
     contexts = scratch.keep(
