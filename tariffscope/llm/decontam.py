@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
 A mask looks at some of the token positions in a window and ignores the others, so a hit survives
-substitutions at those. Hashes of every window of every benchmark item under a few fixed masks are
-joined with those of all training windows. A hit fixes how an item lies on a document; along that alignment, the
+substitutions at those. Hashes of every window of every benchmark item under a few fixed masks, chosen so that no
+overlap is without a hit, are joined with those of all training windows. A hit fixes how an item lies on a document; along that alignment, the
 ``WINDOW`` tokens with the most agreement decide: a share of ``SIMILARITY`` or more equal tokens is an overlap.
 
 The benchmark's hashes are broadcast only where they number at most ``BROADCAST_HASHES``; then
@@ -10,7 +10,7 @@ documents are not shuffled at all, so a passage in a third of all documents cost
 hits. Larger benchmarks are joined by a shuffle.
 
 Defined results: texts are compared as lower-case runs of letters and digits; null or empty texts and
-items, and items shorter than a mask, match nothing; an overlap with an item shorter than the window is judged over
+items match nothing; an overlap with an item shorter than the window is judged over
 the whole item; repeated documents or items give one row for each pair of ids (a null id is
 one id); the best-placed of several equal overlaps is the first; empty tables give an empty result.
 """
@@ -22,9 +22,16 @@ from pyspark.sql import functions as F
 
 from tariffscope.llm.common import Scratch, document_key, once
 
-# 1 is a position that is looked at.
-MASKS = ("110100110101", "101101000111", "111010010011")
-SPAN = len(MASKS[0])
+# Items of SPAN tokens and more have the masks of SPAN.
+SPAN = 12
+# 1 is a position that is looked at; and the lengths of the items that a mask is for. An item's masks hit every
+# placement of as many substitutions as the verification allows: of four blocks of tokens two substitutions leave
+# two equal, which are side by side, one apart or two apart.
+MASKS = {
+    "111111": (12,), "111000111": (12,), "111000000111": (12,),
+    "1111": (4, 6, 7, 8, 9, 10, 11), "110011": (10, 11), "11000011": (10, 11),
+    "11011": (5, 6, 7, 8, 9), "111": (3, 5), "11": (2,), "1": (1,),
+}
 WINDOW, SIMILARITY = 13, 0.8
 BROADCAST_HASHES = 2_000_000
 
@@ -34,25 +41,27 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.split(F.when(words != "", words), " "), lambda word: F.xxhash64(word))
 
 
-def _seeds(tokens: str) -> Column:
-    """Hashes of every window under every mask, the masks' lists one after the other."""
-    looked = [[i for i, bit in enumerate(mask) if bit == "1"] for mask in MASKS]
-    places = F.sequence(F.lit(0), F.size(tokens) - SPAN)
+def _hashes(tokens: str, mask: str) -> Column:
+    """Hashes of every window under a mask, none if there are too few tokens."""
+    looked = [i for i, bit in enumerate(mask) if bit == "1"]
+    places = F.sequence(F.lit(0), F.size(tokens) - len(mask))
+    places = F.when(F.size(tokens) >= len(mask), places).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda p: F.xxhash64(F.lit(mask), *(F.get(F.col(tokens), p + i) for i in looked)))
 
-    def under(n: int, at: list[int]) -> Column:
-        return F.transform(places, lambda p: F.xxhash64(F.lit(n), *(F.get(F.col(tokens), p + i) for i in at)))
 
-    return F.concat(*(under(n, at) for n, at in enumerate(looked)))
-
-
-def _windows(frame: DataFrame, tokens: str, *columns: str) -> DataFrame:
+def _windows(frame: DataFrame, tokens: str, masks: list[str], *columns: str) -> DataFrame:
     """``columns`` with ``seed`` and ``place`` of every window and mask."""
     # Token lists stay out of the rows that windows make, which are many.
-    long_enough = frame.where(F.size(tokens) >= SPAN).select(
-        *columns, (F.size(tokens) - SPAN + 1).alias("n_places"), _seeds(tokens).alias("seeds")
+    long_enough = frame.where(F.size(tokens) >= min(map(len, masks), default=1)).select(
+        *columns, F.size(tokens).alias("n_tokens"), F.concat(F.array().cast("array<bigint>"), *(_hashes(tokens, m) for m in masks)).alias("seeds")
     )
-    return long_enough.select(*columns, "n_places", F.posexplode_outer("seeds").alias("place", "seed")).select(
-        *columns, "seed", (F.col("place") % F.col("n_places")).alias("place")
+    # The masks' lists lie one after the other.
+    place, before = F.col("at"), F.lit(0)
+    for mask in masks:
+        place = F.when(F.col("at") >= before, F.col("at") - before).otherwise(place)
+        before = before + F.greatest(F.col("n_tokens") - len(mask) + 1, F.lit(0))
+    return long_enough.select(*columns, "n_tokens", F.posexplode_outer("seeds").alias("at", "seed")).where("seed is not null").select(
+        *columns, "seed", place.alias("place")
     )
 
 
@@ -69,12 +78,17 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         benchmark.select("item_id", token_hashes(F.col("text")).alias("item_tokens")).distinct()
         .withColumn("item", F.xxhash64("item_id", "item_tokens")), "tests",
     )
-    seeds = scratch.keep(
-        _windows(tests, "item_tokens", "item").withColumnRenamed("place", "item_place"), "seeds"
-    )
+    # Of each length, items have their own masks; documents have those of all lengths that there are.
+    length = F.least(F.size("item_tokens"), F.lit(SPAN))
+    lengths = {r[0] for r in tests.where("size(item_tokens) > 0").select(length).distinct().collect()}
+    masks = {mask: found for mask, of in MASKS.items() if (found := sorted(lengths & set(of)))}
+    seeds = _windows(tests.limit(0), "item_tokens", [], "item")
+    for mask, found in masks.items():
+        seeds = seeds.union(_windows(tests.where(length.isin(found)), "item_tokens", [mask], "item"))
+    seeds = scratch.keep(seeds.withColumnRenamed("place", "item_place"), "seeds")
     keys = document_key()
     training = once(documents.select(*keys, "text"), "doc_tokens", token_hashes(F.col("text")))
-    hits = _joined(_windows(training, "doc_tokens", "doc", "doc_hash"), seeds, ["seed"], BROADCAST_HASHES)
+    hits = _joined(_windows(training, "doc_tokens", list(masks), "doc", "doc_hash"), seeds, ["seed"], BROADCAST_HASHES)
     # One row per document, item and alignment, however many windows of it hit: the item's first token lies on the
     # document's token ``shift``.
     hits = hits.select("doc", "doc_hash", "item", (F.col("place") - F.col("item_place")).alias("shift")).distinct()

@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import re
 
@@ -75,3 +77,46 @@ def test_no_python_runs(spark):
 def test_empty_tables(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert decontam.overlaps(frame, frame.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_masks_hit_whatever_the_verification_accepts():
+    for of in range(1, 14):
+        masks = [m for m, lengths in decontam.MASKS.items() if min(of, decontam.SPAN) in lengths]
+        for n in range(1, of + 1):  # tokens of the item inside the document
+            most = math.floor(n - decontam.SIMILARITY * of + 1e-9)
+            for wrong in (c for k in range(most + 1) for c in itertools.combinations(range(n), k)):
+                hit = any(
+                    all(bit == "0" or at + i not in wrong for i, bit in enumerate(m)) for m in masks for at in range(n - len(m) + 1)
+                )
+                assert hit, (of, n, wrong)
+
+
+def test_leaks_with_up_to_five_substitutions_and_short_items(spark):
+    draw = random.Random(9)
+    word = lambda: draw.choice("abcdefgh") + str(draw.randrange(500))
+    lengths = [*range(1, 20)] * 12
+    items = [(k, [word() for _ in range(n)]) for k, n in enumerate(lengths)]
+    documents = []
+    for k, item in items:
+        leak = list(item)
+        for at in draw.sample(range(len(leak)), min(len(leak) // 2, draw.randint(2, 5) if len(leak) > 9 else draw.randint(0, 1))):
+            leak[at] = "other"
+        documents.append((k, " ".join(word() for _ in range(20)) + " " + " ".join(leak) + " " + " ".join(word() for _ in range(20))))
+    items = [(k, " ".join(item)) for k, item in items]
+    rows = decontam.overlaps(
+        spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    want = {}
+    for d, text in documents:
+        there = tokens(text)
+        for i, item in items:
+            b = tokens(item)
+            width = min(decontam.WINDOW, len(b))
+            most = max(
+                sum(x == y for x, y in zip(there[p : p + width], b[q : q + width]))
+                for q in range(len(b) - width + 1) for p in range(len(there) - width + 1)
+            )
+            if most >= decontam.SIMILARITY * width:
+                want[d, i] = most
+    assert {(r.doc_id, r.item_id): r.n_equal for r in rows if r.n_tokens == min(13, lengths[r.item_id])} == want
+    assert len(want) > 150
