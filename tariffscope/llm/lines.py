@@ -98,9 +98,6 @@ def groups_of_lines(parsed: DataFrame, lines: DataFrame, scratch: Scratch) -> Da
     distinct = scratch.keep(
         editable.groupBy("line").agg(F.min("sim").alias("sim"), F.min("size").alias("size")), "distinct"
     )
-    # Lines of one SimHash are compared with the first of them, which stands for it elsewhere.
-    firsts = scratch.keep(distinct.groupBy("sim").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n")), "firsts")
-
     def texts(wanted: DataFrame) -> DataFrame:
         """line and words of the ``wanted`` lines, each once."""
         few = wanted.count() <= BROADCAST_LINES
@@ -126,31 +123,16 @@ def groups_of_lines(parsed: DataFrame, lines: DataFrame, scratch: Scratch) -> Da
             .where(_alike("words_a", "words_b")).select("a", "b")
         )
 
-    def verified_hashes(pairs: DataFrame) -> DataFrame:
-        """The same for pairs (node, leader) of SimHashes, by the first line of each."""
-        named = scratch.keep(
-            pairs.join(firsts.select(F.col("sim").alias("node"), F.col("line").alias("a")), "node")
-            .join(firsts.select(F.col("sim").alias("leader"), F.col("line").alias("b")), "leader"),
-            f"named{next(calls)}",
-        )
-        return named.join(verified(named.select("a", "b")), ["a", "b"]).select("node", "leader")
-
-    members = firsts.select(F.explode_outer(_block_keys("sim")).alias("bucket"), F.col("sim").alias("node"))
-    close = F.expr(f"bit_count(node ^ leader) <= {MOST_BITS}")
-    by_hash = leader_links(members, verified_hashes, scratch, close)
-    line_links = (
-        by_hash.join(firsts.select(F.col("sim").alias("node"), F.col("line").alias("a")), "node")
-        .join(firsts.select(F.col("sim").alias("leader"), F.col("line").alias("b")), "leader").select("a", "b")
-    )
-    # What shares a SimHash meets its first line, then, as far as unlike that, the next.
-    members = distinct.join(firsts.where("n > 1").select("sim"), "sim").select(
-        F.col("sim").alias("bucket"), F.col("line").alias("node")
-    )
-    inner = Scratch(parsed.sparkSession, "lines-equal")
-    same = leader_links(
-        members, lambda p: verified(p.toDF("a", "b")).toDF("node", "leader"), inner
-    ).toDF("a", "b")
-    return components(line_links.union(same), scratch).toDF("line", "root")
+    def verified_nodes(pairs: DataFrame) -> DataFrame:
+        """The same for pairs (node, leader) of lines with their SimHashes."""
+        good = verified(pairs.select(F.col("node.line").alias("a"), F.col("leader.line").alias("b")))
+        return pairs.join(good, (F.col("node.line") == F.col("a")) & (F.col("leader.line") == F.col("b"))).select("node", "leader")
+
+    # Every line is a node of its own, also among others of its SimHash: these may be unlike it, and like other lines.
+    members = distinct.select(F.explode_outer(_block_keys("sim")).alias("bucket"), F.struct("sim", "line").alias("node"))
+    close = F.expr(f"bit_count(node.sim ^ leader.sim) <= {MOST_BITS}")
+    links = leader_links(members, verified_nodes, scratch, close)
+    return components(links.select(F.col("node.line").alias("a"), F.col("leader.line").alias("b")), scratch).toDF("line", "root")
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:

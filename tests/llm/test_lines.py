@@ -90,3 +90,20 @@ def test_no_python_runs(spark):
 
 def test_empty_table(spark):
     assert lines.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_lines_that_share_a_simhash_all_meet_others(spark):
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randint(4, 9)))
+    documents, likes = [], []
+    for k in range(12):
+        words = [word() for _ in range(60)]
+        orders = [" ".join(draw.sample(words, 60)) for _ in range(3)]  # one SimHash, unlike each other
+        likes += [(3 * k + n, line + " a") for n, line in enumerate(orders)]
+        documents += [(3 * k + n, line) for n, line in enumerate(orders)]
+    frame = spark.createDataFrame(documents + [(1000 + k, line) for k, line in likes], "doc_id long, text string")
+    parsed = lines.lines_of(frame)
+    sims = {r.doc: r.sim for r in lines.simhashes(parsed).collect()}
+    want = {k for k in range(36) if agree(sims[k], sims[1000 + k]) and (sims[k] ^ sims[1000 + k]).bit_count() <= lines.MOST_BITS}
+    gone = {r.doc_id - 1000 for r in lines.without_repeats(frame).where("n_removed = 1").collect()}
+    assert gone == want and len(want) > 20
