@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tariffscope.llm import ann, chat, decontam, lines, minhash, packing, suffix, toxicity, urls, warc
+from tariffscope.llm import ann, chat, codes, decontam, lines, minhash, packing, suffix, toxicity, urls, warc
 from tariffscope.llm.common import table
 
 
@@ -65,6 +65,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    return codes.compress(rows).drop("label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix": op1_suffix,
     "op2_urls": op2_urls,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_lines": op10_lines,
+    "op13_codes": op13_codes,
 }
 
 ORACLES: dict[str, str] = {
