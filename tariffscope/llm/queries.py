@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tariffscope.llm import ann, bpe, chat, codes, decontam, lines, minhash, packing, suffix, toxicity, urls, warc
+from tariffscope.llm import ann, bpe, chat, codes, decontam, lines, minhash, packing, repair, suffix, toxicity, urls, warc
 from tariffscope.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.assess(table(spark, sf_dir, "conversations"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_lines": op10_lines,
+    "op11_repair": op11_repair,
     "op12_bpe": op12_bpe,
     "op13_codes": op13_codes,
 }
