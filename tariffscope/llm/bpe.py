@@ -6,9 +6,9 @@ in Spark, and their ids go to the documents that hold them. The stretches betwee
 
 Ids of neighbouring pieces don't simply add up: a word or a run of spaces may lie across the joint. So each joint is repaired: the
 text from a safe place before it to one after it is encoded anew, starting with two such places on either side; if what lies between
-these two does not come out as it was in the pieces, the window is widened until it does, at last to the whole pieces.
+these two does not come out as it was in the pieces, the window is widened until it does, at last to the whole text.
 A safe place is one where the tokenizer's own pattern always splits: before a space that follows something
-that is no space. Texts with control characters whose kind of space is doubtful have no safe places and are encoded whole.
+that is surely none. Texts with control characters whose kind of space is doubtful are encoded whole.
 
 Which chunks are shared is told to the tasks by a Bloom filter of at most ``FILTER_BITS`` bits, not by a join of all texts; a chunk that it
 takes for shared by mistake is encoded with the shared ones, which changes no result. Beyond some 10^7 shared
@@ -22,10 +22,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 import json
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,6 @@ _GEAR = np.random.Generator(np.random.PCG64(20260102)).integers(0, 1 << 32, 256,
 UNIT = re.compile(r"\s*\S+|\s+")
 # Not every library calls these spaces, or calls them none.
 DOUBTFUL = re.compile("[\x1c-\x1f\u180e\u200b\ufeff]")
-SAFE = re.compile(r"(?<=\S)(?=\s)")
 
 
 def chunk_ends(data: bytes) -> list[int]:
@@ -73,16 +72,20 @@ def chunk_ends(data: bytes) -> list[int]:
     return ends
 
 
-def digest(chunk: bytes) -> tuple[int, int]:
-    """A 128-bit name of a chunk as two signed longs."""
-    whole = xxhash.xxh3_128_digest(chunk)
-    return int.from_bytes(whole[:8], "big", signed=True), int.from_bytes(whole[8:], "big", signed=True)
+def digests(chunks: list[bytes]) -> np.ndarray:
+    """128-bit names of chunks, each two signed longs."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(c) for c in chunks]), ">i8").astype(np.int64).reshape(-1, 2)
 
 
-def _filter_places(high, low, bits: int) -> tuple:
-    """Three bits of the filter for a digest; ``bits`` is a power of two, up to 2^31."""
-    mask = bits - 1
-    return low & mask, (low >> 32) & mask, high & mask
+class Window(NamedTuple):
+    """Ids of a text to be encoded anew; those before and after the agreed places must come out as they were."""
+
+    text: int
+    start: int
+    start_agreed: int
+    end_agreed: int
+    end: int
+    needed: int
 
 
 class Codec:
@@ -117,16 +120,33 @@ class Codec:
             known = all(c in byte_of for c in token)
             self.bytes_of[i] = bytes(byte_of[c] for c in token) if known else token.encode()
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.closes, self.opens = (np.array([f(b) for b in self.bytes_of]) for f in (self._ends_a_word, self._starts_with_space))
         self.units: dict[str, bytes] = {}
 
+    @staticmethod
+    def _starts_with_space(data: bytes) -> bool:
+        return data[:1] in (b" ", b"\t", b"\n", b"\r")
+
+    @staticmethod
+    def _ends_a_word(data: bytes) -> bool:
+        """Whether the last character is all there, and surely no space."""
+        at = len(data) - 1
+        while at > 0 and data[at] & 0xC0 == 0x80:
+            at -= 1
+        try:
+            last = data[max(at, 0) :].decode()
+        except UnicodeDecodeError:
+            return False
+        return bool(last) and not last.isspace() and not DOUBTFUL.search(last)
+
     def plain(self, texts: list[str]) -> list[bytes]:
         """Ids by the library alone, in the codec's kind of number."""
         return [np.asarray(c.ids, self.kind).tobytes() for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """Ids of units. Those that begin with a space and end without one add up, so they are encoded as one text."""
-        joined = [u for u in new if u[0].isspace() and not u[-1].isspace()]
-        rest = [u for u in new if not u[0].isspace() or u[-1].isspace()]
+        joined = [u for u in new if len(u.lstrip()) < len(u) == len(u.rstrip())]
+        rest = list(new.difference(joined))
         found = dict(zip(rest, self.plain(rest)))
         for at in range(0, len(joined), 5000):
             part = joined[at : at + 5000]
@@ -148,13 +168,14 @@ class Codec:
         whole = {i for i, text in enumerate(texts) if DOUBTFUL.search(text)}
         split = [[] if i in whole else UNIT.findall(text) for i, text in enumerate(texts)]
         coded = [list(map(self.units.get, units)) for units in split]
-        new = {u for units, ids in zip(split, coded) for u, i in zip(units, ids) if i is None}
+        unmet = [i for i, ids in enumerate(coded) if None in ids]
+        new = {u for i in unmet for u, ids in zip(split[i], coded[i]) if ids is None}
         if new:
             new = self._learn(new)
             self.units.update(item for item in new.items() if len(item[0]) <= LONGEST_CACHED)
-        result = [
-            b"".join([i if i is not None else new[u] for u, i in zip(units, ids)]) for units, ids in zip(split, coded)
-        ]
+            for i in unmet:
+                coded[i] = [ids if ids is not None else new[u] for u, ids in zip(split[i], coded[i])]
+        result = list(map(b"".join, coded))
         order = sorted(whole)
         for i, ids in zip(order, self.plain([texts[i] for i in order])):
             result[i] = ids
@@ -168,76 +189,64 @@ class Codec:
         table = self.bytes_of
         return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
-    def _edge(self, coded: bytes, count: int, at_end: bool) -> tuple[str, list[tuple[int, int]], bool]:
-        """Text of the last (or first) ``count`` ids, its safe places as (character, ids from the joint up to it), nearest
-        first, and whether these are all ids."""
-        size, kind = self.kind.itemsize, self.kind
-        everything = count * size >= len(coded)
-        part = np.frombuffer(coded[-count * size :] if at_end else coded[: count * size], kind)
-        data = b"".join([self.bytes_of[i] for i in part.tolist()])
-        cut = 0
-        if at_end:  # the first character may have begun before
-            while cut < len(data) and data[cut] & 0xC0 == 0x80:
-                cut += 1
-        text = data[cut:].decode("utf-8", "ignore")
-        if DOUBTFUL.search(text) or not self.has_safe_places:
-            return text, [], everything
-        places = []
-        lengths = self.lengths[part]
-        ends = np.cumsum(lengths) if not at_end else np.cumsum(lengths[::-1])
-        total = len(text.encode())
-        for m in SAFE.finditer(text):
-            before = len(text[: m.start()].encode())
-            away = total - before if at_end else before
-            i = int(np.searchsorted(ends, away))
-            if i < len(ends) and ends[i] == away:
-                places.append((m.start(), i + 1))
-        return text, places[::-1] if at_end else places, everything
-
-    def join(self, left: bytes, right: bytes) -> bytes:
-        """Ids of two texts after each other, from the ids of each."""
-        if not left or not right:
-            return left + right
-        size = self.kind.itemsize
-        needed, count = 2, 16
-        while True:
-            before, ahead, all_before = self._edge(left, count, True)
-            after, behind, all_after = self._edge(right, count, False)
-            if (len(ahead) < needed and not all_before) or (len(behind) < needed and not all_after):
-                count *= 4
-                continue
-            # Without enough safe places a piece is encoded anew as a whole.
-            start, tail = ahead[needed - 1] if len(ahead) >= needed else (0, len(left) // size)
-            end, head = behind[needed - 1] if len(behind) >= needed else (len(after), len(right) // size)
-            (window,) = self.encode([before[start:] + after[:end]])
-            outer_left = left[len(left) - tail * size : len(left) - ahead[0][1] * size] if len(ahead) >= needed else b""
-            outer_right = right[behind[0][1] * size : head * size] if len(behind) >= needed else b""
-            if window.startswith(outer_left) and window.endswith(outer_right):
-                return left[: len(left) - tail * size] + window + right[head * size :]
-            needed *= 2
-
-    def _has_places(self, coded: bytes) -> bool:
-        return any(len(self._edge(coded, count, False)[1]) > 1 for count in (64, len(coded)))
-
-    def joined(self, pieces: list[bytes]) -> bytes:
-        """Ids of a text from those of its pieces; only a bounded end of what is joined already is looked at."""
-        # Neighbours without safe places are encoded together, so that none is encoded anew at every joint.
-        merged: list[bytes] = []
-        for bare, group in itertools.groupby(pieces, lambda piece: not self._has_places(piece)):
-            group = list(group)
-            merged += self.encode(["".join(self.decode(self.ids(piece)) for piece in group)]) if bare and len(group) > 1 else group
-        done: list[bytes] = []
-        last = b""
-        for piece in merged:
-            last = self.join(last, piece)
-            # What lies well before the end, up to a safe place, will not change any more.
-            if len(last) > 16384 * self.kind.itemsize:
-                _, places, _ = self._edge(last, 1024, True)
-                if len(places) > 64:
-                    keep = places[63][1] * self.kind.itemsize
-                    done.append(last[:-keep])
-                    last = last[-keep:]
-        return b"".join(done) + last
+    def text(self, ids: np.ndarray) -> str:
+        """The text of ids between characters."""
+        return b"".join([self.bytes_of[i] for i in ids.tolist()]).decode()
+
+    def joined(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Ids of texts, each from those of its pieces."""
+        found = [self.ids(b"".join(pieces)) for pieces in texts]
+        windows = [w for n, pieces in enumerate(texts) for w in self._windows(n, found[n], pieces)]
+        changes: dict[int, list[tuple[int, int, bytes]]] = {}
+        while windows:
+            coded = self.encode([self.text(found[w.text][w.start : w.end]) for w in windows])
+            wider = []
+            for window, new in zip(windows, coded):
+                ids = found[window.text]
+                before = ids[window.start : window.start_agreed].tobytes()
+                after = ids[window.end_agreed : window.end].tobytes()
+                if new.startswith(before) and new.endswith(after):
+                    changes.setdefault(window.text, []).append((window.start, window.end, new))
+                else:
+                    wider.append(window)
+            # A wider window may reach into a neighbour's, so all of such a text's are drawn up again.
+            again = {w.text: w.needed * 2 for w in wider}
+            for n in again:
+                changes.pop(n, None)
+            windows = [w for n, needed in again.items() for w in self._windows(n, found[n], texts[n], needed)]
+        result = []
+        for n, ids in enumerate(found):
+            at, parts = 0, []
+            for start, end, new in sorted(changes.get(n, [])):
+                parts += [ids[at:start].tobytes(), new]
+                at = end
+            result.append(b"".join([*parts, ids[at:].tobytes()]))
+        return result
+
+    def _windows(self, text: int, ids: np.ndarray, pieces: list[bytes], needed: int = 2) -> list[Window]:
+        """What to encode anew around the joints of one text, ``needed`` safe places away where there are so many; where
+        two meet, one window for both."""
+        joints = np.unique(np.cumsum([len(p) // self.kind.itemsize for p in pieces])[:-1]) if len(pieces) > 1 else np.empty(0, int)
+        joints = joints[(joints > 0) & (joints < len(ids))]
+        if not len(joints):
+            return []
+        if self.has_safe_places:
+            safe = np.flatnonzero(self.closes[ids[:-1]] & self.opens[ids[1:]]) + 1
+        else:
+            safe = np.empty(0, int)
+        joints = joints[~np.isin(joints, safe)]
+        before = np.searchsorted(safe, joints)  # safe[before - 1] < joint < safe[before]
+        found: list[Window] = []
+        for i in before.tolist():
+            enough_before, enough_after = i >= needed, i + needed <= len(safe)
+            start, start_agreed = (int(safe[i - needed]), int(safe[i - 1])) if enough_before else (0, 0)
+            end, end_agreed = (int(safe[i + needed - 1]), int(safe[i])) if enough_after else (len(ids), len(ids))
+            if found and start < found[-1].end:
+                last = found[-1]
+                found[-1] = Window(text, last.start, last.start_agreed, max(end_agreed, last.end_agreed), max(end, last.end), needed)
+            else:
+                found.append(Window(text, start, start_agreed, end_agreed, end, needed))
+        return found
 
 
 @functools.cache
@@ -261,36 +270,39 @@ def _chunks(text: str | None) -> list[bytes]:
     return found
 
 
+def _chunked(part: pa.RecordBatch) -> tuple[list[list[bytes]], np.ndarray]:
+    """Chunks of each text of a batch, and the names of all."""
+    chunks = [_chunks(text) for text in part.column("text").to_pylist()]
+    return chunks, digests([c for of_text in chunks for c in of_text])
+
+
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The digest of every chunk."""
     for part in _texts(batches):
-        names = [digest(chunk) for text in part.column("text").to_pylist() for chunk in _chunks(text)]
-        yield pa.RecordBatch.from_arrays([pa.array([n[k] for n in names], pa.int64()) for k in (0, 1)], ["high", "low"])
-
-
-class Shared:
-    """The Bloom filter of shared chunks, as tasks use it."""
+        _, names = _chunked(part)
+        yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1])], ["high", "low"])
 
-    def __init__(self, words: bytes):
-        self.bits = len(words) * 8
-        self.raw = words
 
-    def __contains__(self, name: tuple[int, int]) -> bool:
-        raw = self.raw
-        return all(raw[p >> 3] >> (p & 7) & 1 for p in _filter_places(*name, self.bits))
+def _among(names: np.ndarray, words: bytes) -> np.ndarray:
+    """Which names the Bloom filter holds."""
+    raw, mask = np.frombuffer(words, np.uint8), np.int64(len(words) * 8 - 1)
+    held = np.ones(len(names), bool)
+    for place in (names[:, 1] & mask, (names[:, 1] >> np.int64(32)) & mask, names[:, 0] & mask):
+        held &= (raw[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+    return held
 
 
 def _shared_texts(batches: Iterator[pa.RecordBatch], words) -> Iterator[pa.RecordBatch]:
     """Name and text of shared chunks, each about once a task."""
-    shared, seen = Shared(words.value), set()
+    seen: set[tuple[int, int]] = set()
     for part in _texts(batches):
-        rows = []
-        for text in part.column("text").to_pylist():
-            for chunk in _chunks(text):
-                name = digest(chunk)
-                if name in shared and name not in seen:
-                    seen.add(name)
-                    rows.append((*name, chunk.decode()))
+        chunks, names = _chunked(part)
+        flat, rows = [c for of_text in chunks for c in of_text], []
+        for i in np.flatnonzero(_among(names, words.value)).tolist():
+            name = (int(names[i, 0]), int(names[i, 1]))
+            if name not in seen:
+                seen.add(name)
+                rows.append((*name, flat[i].decode()))
         if len(seen) > SEEN_CHUNKS:
             seen.clear()
         columns = list(zip(*rows)) or [[], [], []]
@@ -305,14 +317,15 @@ def _coded_chunks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
 
 
 def _uses(batches: Iterator[pa.RecordBatch], words) -> Iterator[pa.RecordBatch]:
-    """Which shared chunks each document holds, each once."""
-    shared = Shared(words.value)
+    """Which shared chunks each document holds."""
     for part in _texts(batches):
-        rows = []
-        for doc, doc_hash, text in zip(*(part.column(c).to_pylist() for c in ("doc", "doc_hash", "text"))):
-            rows += [(doc, doc_hash, *name) for name in {digest(chunk) for chunk in _chunks(text)} if name in shared]
-        columns = list(zip(*rows)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "doc_hash", "high", "low"])
+        chunks, names = _chunked(part)
+        held = np.flatnonzero(_among(names, words.value))
+        row = np.repeat(np.arange(len(chunks)), [len(c) for c in chunks])[held]
+        documents = [part.column(c).take(pa.array(row)) for c in ("doc", "doc_hash")]
+        yield pa.RecordBatch.from_arrays(
+            [*documents, pa.array(names[held, 0]), pa.array(names[held, 1])], ["doc", "doc_hash", "high", "low"]
+        )
 
 
 def _results(codes: list[bytes], coder: Codec, with_ids: bool, with_text: bool) -> list[pa.Array]:
@@ -347,19 +360,20 @@ def _filled(values: pa.Array, rows: list[int], n: int) -> pa.Array:
 def _own_parts(batches: Iterator[pa.RecordBatch], path: str, words, with_ids: bool, with_text: bool):
     """Encodes what is not shared. A document without shared chunks is done; of others the ids of their own stretches go on,
     and their order: numbers of ids, and -1 for a shared chunk."""
-    coder, shared, packer = codec(path), Shared(words.value), zstandard.ZstdCompressor(level=1)
+    coder, packer = codec(path), zstandard.ZstdCompressor(level=1)
     for part in _texts(batches):
         plans, stretches = [], []  # a plan: places of stretches, names of shared chunks
-        for text in part.column("text").to_pylist():
+        texts, names = _chunked(part)
+        flags = iter(zip(_among(names, words.value).tolist(), names.tolist()))
+        for chunks in texts:
             plan, open_run = [], []
-            for chunk in _chunks(text):
-                name = digest(chunk)
-                if name in shared:
+            for chunk, (held, name) in zip(chunks, flags):
+                if held:
                     if open_run:
                         plan.append(len(stretches))
                         stretches.append(b"".join(open_run).decode())
                         open_run = []
-                    plan.append(name)
+                    plan.append(tuple(name))
                 else:
                     open_run.append(chunk)
             if open_run:
@@ -391,8 +405,8 @@ def _assembled(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool, wit
     """Joins documents' own stretches and shared chunks."""
     coder, opener = codec(path), zstandard.ZstdDecompressor()
     fields = [f.name for f in _result_fields(with_ids, with_text)]
-    for part in _texts(batches):
-        rows, codes = [], []
+    for part in _texts(batches, 256):
+        rows, texts = [], []
         columns = (part.column(c).to_pylist() for c in ("own", "order", "names", "chunks"))
         for i, (own, order, names, chunks) in enumerate(zip(*columns)):
             if own is None:
@@ -408,8 +422,8 @@ def _assembled(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool, wit
                     pieces.append(own[at : at + n * size])
                     at += n * size
             rows.append(i)
-            codes.append(coder.joined(pieces))
-        late = _results(codes, coder, with_ids, with_text)
+            texts.append(pieces)
+        late = _results(coder.joined(texts), coder, with_ids, with_text)
         index = np.arange(part.num_rows)
         index[rows] = part.num_rows + np.arange(len(rows))
         merged = [pa.concat_arrays([part.column(f), c]).take(pa.array(index)) for f, c in zip(fields, late)]

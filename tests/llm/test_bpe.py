@@ -63,7 +63,7 @@ def test_joined_pieces(text, cuts):
     coder = bpe.codec(PATH)
     borders = [0, *sorted(min(c, len(text)) for c in cuts), len(text)]
     pieces = coder.encode([text[a:b] for a, b in zip(borders, borders[1:])])
-    assert coder.ids(coder.joined(pieces)).tolist() == library(text)[0]
+    assert coder.ids(coder.joined([pieces])[0]).tolist() == library(text)[0]
 
 
 def test_long_texts_in_many_pieces():
@@ -72,7 +72,7 @@ def test_long_texts_in_many_pieces():
     for text in (" ".join(rng.choice(words) for _ in range(20_000)), "日本" * 9_000, "ab" * 10_000):
         borders = [0, *sorted(rng.randrange(len(text)) for _ in range(60)), len(text)]
         pieces = coder.encode([text[a:b] for a, b in zip(borders, borders[1:])])
-        assert coder.ids(coder.joined(pieces)).tolist() == library(text)[0]
+        assert coder.ids(coder.joined([pieces])[0]).tolist() == library(text)[0]
 
 
 def test_windows_are_widened_until_they_agree(monkeypatch):
@@ -90,7 +90,7 @@ def test_windows_are_widened_until_they_agree(monkeypatch):
         return [b"\x00\x00" * 3] if len(calls) == 1 else encode(windows)
 
     monkeypatch.setattr(wrong, "encode", first_wrong)
-    assert coder.ids(wrong.join(*pieces)).tolist() == library(text)[0]
+    assert coder.ids(wrong.joined([pieces])[0]).tolist() == library(text)[0]
     assert len(calls) == 2 and len(calls[1][0]) > len(calls[0][0])
 
 
