@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from ..sources.catalogue import Catalogue
-from . import boards, marts, quality, questions, statistics, views
+from . import boards, history, marts, quality, questions, statistics, views
 
 Plan = Callable[..., DataFrame]
 
@@ -53,7 +53,15 @@ VIEWS: dict[str, Plan] = {
     "view_category_offers": views.category_offers,
     "view_free_entities": views.free_entities,
 }
-ON_CATALOGUE = AUDIT | CLEANING | QUESTIONS | VIEWS
+HISTORY: dict[str, Plan] = {
+    "price_changes": history.price_changes,
+    "price_periods": history.price_periods,
+    "price_by_month": history.price_by_month,
+    "price_trends": history.price_trends,
+}
+ON_CATALOGUE = AUDIT | CLEANING | QUESTIONS | VIEWS | HISTORY
+# These also need to know the dates.
+AT_DATES: dict[str, Plan] = {"price_on_dates": history.prices_on_dates}
 
 # Read the entity mart.
 ON_MART: dict[str, Plan] = {
@@ -87,8 +95,8 @@ ON_ENRICHED: dict[str, Plan] = {"offer_board": boards.offer_board}
 
 
 def catalogue_results(c: Catalogue) -> dict[str, DataFrame]:
-    """The audit, the questions and the views over a catalogue, with their default parameters."""
-    return {name: plan(c) for name, plan in (AUDIT | QUESTIONS | VIEWS).items()}
+    """The audit, the questions, the views and the price history over a catalogue, with their default parameters."""
+    return {name: plan(c) for name, plan in (AUDIT | QUESTIONS | VIEWS | HISTORY).items()}
 
 
 def mart_results(stored: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -6,6 +6,7 @@ used.  The tables hold no missing values, so some are derived: one order status
 stands for offers without a price, low balances for missing ratings.
 """
 
+from datetime import date
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,11 +89,15 @@ _ATTRIBUTE_COLUMNS = (
 )
 _PRICE_LOG_COLUMNS = (
     "o_orderkey AS log_id",
-    "o_custkey AS entity_id",
-    "CAST(o_orderdate AS DATE) AS recorded_date",
-    "o_orderstatus AS plan_name",
-    "o_totalprice / 1000 AS price",
+    # One customer has a quarter of the log; every third snapshot is dated at the beginning of its month.
+    "CASE WHEN o_orderkey % 4 = 1 THEN 1 ELSE o_custkey END AS entity_id",
+    "CAST(CASE WHEN o_orderkey % 3 = 0 THEN date_trunc('month', o_orderdate) ELSE o_orderdate END AS DATE)"
+    " AS recorded_date",
+    "CASE WHEN o_orderkey % 17 <> 3 THEN o_orderstatus END AS plan_name",
+    # Few prices, so that many snapshots repeat the one before.
+    "CASE WHEN o_orderkey % 13 <> 5 THEN CAST(floor(o_totalprice / 100000) AS DOUBLE) * 10 END AS price",
 )
+REPORT_DATES = (date(1996, 6, 30), date(1998, 1, 1), date(2000, 2, 29))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

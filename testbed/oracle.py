@@ -64,6 +64,29 @@ _TABLES = {
                 ELSE 'n/a' END AS feature_value,
            event_type AS category
     FROM events""",
+    "price_log": """
+    SELECT o_orderkey AS log_id, CASE WHEN o_orderkey % 4 = 1 THEN 1 ELSE o_custkey END AS entity_id,
+           CAST(CASE WHEN o_orderkey % 3 = 0 THEN date_trunc('month', o_orderdate) ELSE o_orderdate END AS DATE)
+               AS recorded_date,
+           CASE WHEN o_orderkey % 17 <> 3 THEN o_orderstatus END AS plan_name,
+           CASE WHEN o_orderkey % 13 <> 5 THEN CAST(floor(o_totalprice / 100000) AS DOUBLE) * 10 END AS price
+    FROM orders""",
+    "daily": """
+    SELECT entity_id, plan_name, recorded_date, price FROM price_log
+    QUALIFY row_number() OVER (PARTITION BY entity_id, plan_name, recorded_date ORDER BY log_id DESC) = 1""",
+    "logged": """
+    SELECT daily.*, lag(price) OVER w AS old_price, lag(recorded_date) OVER w AS previous_date
+    FROM daily WINDOW w AS (PARTITION BY entity_id, plan_name ORDER BY recorded_date)""",
+    "monthly": """
+    WITH ends AS (
+        SELECT entity_id, plan_name, date_trunc('month', recorded_date)::DATE AS ended, price FROM daily
+        QUALIFY row_number() OVER (PARTITION BY entity_id, plan_name, ended ORDER BY recorded_date DESC) = 1),
+    reach AS (SELECT entity_id, plan_name, min(ended) AS lo, max(ended) AS hi FROM ends GROUP BY ALL),
+    calendar AS (
+        SELECT entity_id, plan_name, unnest(generate_series(lo, hi, INTERVAL 1 MONTH))::DATE AS month FROM reach)
+    SELECT c.entity_id, c.plan_name, c.month, e.price, e.ended = c.month AS is_recorded
+    FROM calendar c ASOF JOIN (SELECT entity_id, plan_name, coalesce(plan_name, '?') AS plan, ended, price FROM ends) e
+         ON c.entity_id = e.entity_id AND coalesce(c.plan_name, '?') = e.plan AND c.month >= e.ended""",
     "entry": """
     SELECT entity_id, min(price_monthly) AS entry_price
     FROM offer WHERE price_monthly > 0 GROUP BY entity_id""",
@@ -116,6 +139,9 @@ def _over(*tables: str, query: str) -> str:
         "summary": ["mart"],
         "paired": ["mart"],
         "enriched": ["offer", "entity"],
+        "daily": ["price_log"],
+        "logged": ["daily"],
+        "monthly": ["daily"],
     }
     ordered: list[str] = []
 
@@ -558,3 +584,44 @@ SELECT *, printf('$%.2f/mo', median_entry_price) AS median_entry_price_text,
 FROM kpi""",
     ).replace(")\n,\n", "),\n"),
 }
+
+ORACLES |= {
+    "price_changes": _over(
+        "logged",
+        query=f"""
+        SELECT entity_id, plan_name, recorded_date, previous_date, old_price, price AS new_price,
+               {_up(_pct("price - old_price", "old_price"), 2)} AS change_pct
+        FROM logged WHERE previous_date IS NOT NULL AND price IS DISTINCT FROM old_price""",
+    ),
+    "price_periods": _over(
+        "logged",
+        query="""
+        SELECT entity_id, plan_name, price, recorded_date AS valid_from,
+               lead(recorded_date) OVER w AS valid_to,
+               CAST(lead(recorded_date) OVER w - recorded_date AS INTEGER) AS days
+        FROM logged WHERE previous_date IS NULL OR price IS DISTINCT FROM old_price
+        WINDOW w AS (PARTITION BY entity_id, plan_name ORDER BY recorded_date)""",
+    ),
+    "price_on_dates": _over(
+        "daily",
+        query=f"""
+        SELECT k.entity_id, k.plan_name, k.as_of, p.price, p.recorded_date
+        FROM (SELECT entity_id, plan_name, coalesce(plan_name, '?') AS plan, as_of
+              FROM (SELECT DISTINCT entity_id, plan_name FROM price_log),
+                   (VALUES {", ".join(f"(DATE '{d}')" for d in b.REPORT_DATES)}) dates(as_of)) k
+        ASOF LEFT JOIN (SELECT *, coalesce(plan_name, '?') AS plan FROM daily) p
+        ON k.entity_id = p.entity_id AND k.plan = p.plan AND k.as_of >= p.recorded_date""",
+    ),
+    "price_by_month": _over("monthly", query="SELECT * FROM monthly"),
+    "price_trends": _over(
+        "monthly",
+        query=f"""
+        SELECT entity_id, plan_name, months,
+               CASE WHEN months > 1 THEN {_up("slope", 6)} END AS slope_per_month, first_price, last_price,
+               CASE WHEN months > 1 THEN {_up(_pct("last_price - first_price", "first_price"), 2)} END AS change_pct
+        FROM (SELECT entity_id, plan_name, count(*) AS months,
+                     CASE WHEN count(*) > 1 THEN regr_slope(price, year(month) * 12 + month(month)) END AS slope,
+                     arg_min(price, month) AS first_price, arg_max(price, month) AS last_price
+              FROM monthly WHERE price IS NOT NULL GROUP BY entity_id, plan_name)""",
+    ),
+}

@@ -22,6 +22,7 @@ OPTIONS: dict[str, dict] = {
     "q01_entry_price_by_category": {"exclude": (b.NOT_COMPARABLE,)},
     "view_category_offers": {"slug": b.SHOWN_CATEGORY},
     "billing_board": {"models": b.BILLING_MODELS},
+    "price_on_dates": {"dates": b.REPORT_DATES},
 }
 
 
@@ -49,7 +50,7 @@ def _query(name: str, plan: jobs.Plan, source: Callable[[Catalogue], object]) ->
 
 
 _SOURCES = (
-    (jobs.ON_CATALOGUE, lambda c: c),
+    (jobs.ON_CATALOGUE | jobs.AT_DATES, lambda c: c),
     ({"entity_mart": lambda mart: mart} | jobs.ON_MART, _mart),
     ({"category_summary": lambda summary: summary} | jobs.ON_SUMMARY, _summary),
     (jobs.ON_OFFERS, lambda c: c.offer),
