@@ -1,5 +1,8 @@
 """A session with the settings these jobs are planned for."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -39,3 +42,15 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)
     return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, not yet made, below the checkpoint folder that the cluster names.
+
+    Only a local session, whose tasks all run on this machine, may name none.
+    """
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    root = ensure_checkpoint_dir(spark, named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return f"{root}/{name}-{uuid.uuid4().hex}"

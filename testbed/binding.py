@@ -97,6 +97,7 @@ _PRICE_LOG_COLUMNS = (
     # Few prices, so that many snapshots repeat the one before.
     "CASE WHEN o_orderkey % 13 <> 5 THEN CAST(floor(o_totalprice / 100000) AS DOUBLE) * 10 END AS price",
 )
+ALERT_DELAY = "30 days"
 REPORT_DATES = (date(1996, 6, 30), date(1998, 1, 1), date(2000, 2, 29))
 
 
@@ -149,3 +150,9 @@ def part_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("part_id"), F.lower("p_name").alias("slug"), "p_brand"
     )
+
+
+def price_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price log as its files are found, one a batch."""
+    orders = spark.readStream.schema(_SCHEMAS["orders"]).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/orders.parquet*")
+    return orders.selectExpr(*_PRICE_LOG_COLUMNS)

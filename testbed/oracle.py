@@ -593,6 +593,14 @@ ORACLES |= {
                {_up(_pct("price - old_price", "old_price"), 2)} AS change_pct
         FROM logged WHERE previous_date IS NOT NULL AND price IS DISTINCT FROM old_price""",
     ),
+    "price_alerts": _over(
+        "logged",
+        query=f"""
+        SELECT entity_id, plan_name, recorded_date, previous_date, old_price, price AS new_price,
+               {_up(_pct("price - old_price", "old_price"), 2)} AS change_pct
+        FROM logged WHERE previous_date IS NOT NULL AND price IS DISTINCT FROM old_price
+             AND recorded_date <= (SELECT max(recorded_date) FROM price_log) - INTERVAL {b.ALERT_DELAY}""",
+    ),
     "price_periods": _over(
         "logged",
         query="""

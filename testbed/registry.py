@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tariffscope.functions.rounding import half_up
 from tariffscope.plans import jobs, marts, quality
 from tariffscope.sources.catalogue import Catalogue
+from tariffscope.session import shared_folder
 from tariffscope.sources.loading import first_wins
+from tariffscope.streaming.alerts import ALERT_SCHEMA, alert_stream
 
 from . import binding as b
 
@@ -88,3 +90,14 @@ QUERIES["dq_duplicate_keys"] = lambda spark, sf_dir: quality.duplicate_keys(
 QUERIES["load_first_wins"] = lambda spark, sf_dir: first_wins(
     b.part_slugs(spark, sf_dir), None, (("slug",),), ["part_id"]
 )
+
+
+def price_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price log as a stream: changes of the days that its last snapshot, less the delay, has passed."""
+    folder = shared_folder(spark, "alerts")
+    query = alert_stream(b.price_log_stream(spark, sf_dir), f"{folder}/out", f"{folder}/state", b.ALERT_DELAY)
+    query.awaitTermination()
+    return spark.read.schema(ALERT_SCHEMA).parquet(f"{folder}/out")
+
+
+QUERIES["price_alerts"] = price_alerts
