@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from ..sources.catalogue import Catalogue
-from . import boards, history, marts, quality, questions, statistics, views
+from . import boards, highlights, history, marts, quality, questions, statistics, views
 
 Plan = Callable[..., DataFrame]
 
@@ -59,7 +59,12 @@ HISTORY: dict[str, Plan] = {
     "price_by_month": history.price_by_month,
     "price_trends": history.price_trends,
 }
-ON_CATALOGUE = AUDIT | CLEANING | QUESTIONS | VIEWS | HISTORY
+HIGHLIGHTS: dict[str, Plan] = {
+    "offer_highlights": highlights.offer_highlights,
+    "highlight_counts": highlights.highlight_counts,
+    "dq_highlight_format": highlights.highlight_formats,
+}
+ON_CATALOGUE = AUDIT | CLEANING | QUESTIONS | VIEWS | HISTORY | HIGHLIGHTS
 # These also need to know the dates.
 AT_DATES: dict[str, Plan] = {"price_on_dates": history.prices_on_dates}
 
@@ -95,8 +100,8 @@ ON_ENRICHED: dict[str, Plan] = {"offer_board": boards.offer_board}
 
 
 def catalogue_results(c: Catalogue) -> dict[str, DataFrame]:
-    """The audit, the questions, the views and the price history over a catalogue, with their default parameters."""
-    return {name: plan(c) for name, plan in (AUDIT | QUESTIONS | VIEWS | HISTORY).items()}
+    """The audit, questions, views, price history and highlights of a catalogue, with their default parameters."""
+    return {name: plan(c) for name, plan in (AUDIT | QUESTIONS | VIEWS | HISTORY | HIGHLIGHTS).items()}
 
 
 def mart_results(stored: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -77,7 +77,12 @@ _OFFER_COLUMNS = (
     "o_totalprice / 100 AS price_annual",
     "o_orderpriority AS billing_model",
     "'USD' AS currency",
-    "'[\"' || o_orderpriority || '\"]' AS features",
+    # Lists of highlights, and what is none: missing, empty, cut off, no list, or with something behind it.
+    """CASE o_orderkey % 12 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN '["' || o_orderpriority || '"'
+    WHEN 3 THEN '{"a": 1}' WHEN 4 THEN ' ' WHEN 5 THEN 'null' WHEN 6 THEN '["a"] and more'
+    WHEN 7 THEN '["Twice", "Twice", 7, {"x": 1}]'
+    ELSE '["' || o_orderpriority || '", " Plan ' || o_orderstatus || ' ", null, "", "tier '
+    || CAST(o_orderkey % 7 AS STRING) || '"]' END AS features""",
 )
 _ATTRIBUTE_COLUMNS = (
     "event_id AS attribute_id",

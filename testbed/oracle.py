@@ -55,7 +55,12 @@ _TABLES = {
                 WHEN o_orderpriority = '5-LOW' THEN CAST(0 AS DOUBLE)
                 ELSE o_totalprice / 1000 END AS price_monthly,
            o_totalprice / 100 AS price_annual, o_orderpriority AS billing_model,
-           'USD' AS currency, '["' || o_orderpriority || '"]' AS features
+           'USD' AS currency,
+           CASE o_orderkey % 12 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN '["' || o_orderpriority || '"'
+                WHEN 3 THEN '{"a": 1}' WHEN 4 THEN ' ' WHEN 5 THEN 'null' WHEN 6 THEN '["a"] and more'
+                WHEN 7 THEN '["Twice", "Twice", 7, {"x": 1}]'
+                ELSE '["' || o_orderpriority || '", " Plan ' || o_orderstatus || ' ", null, "", "tier '
+                     || CAST(o_orderkey % 7 AS VARCHAR) || '"]' END AS features
     FROM orders""",
     "attribute": """
     SELECT event_id AS attribute_id, user_id AS entity_id,
@@ -64,6 +69,20 @@ _TABLES = {
                 ELSE 'n/a' END AS feature_value,
            event_type AS category
     FROM events""",
+    "listing": """
+    SELECT *, CASE WHEN features IS NULL OR trim(features) = '' THEN 'missing'
+                   WHEN NOT json_valid(features) THEN 'malformed'
+                   WHEN json_type(features) = 'NULL' THEN 'missing'
+                   WHEN json_type(features) <> 'ARRAY' THEN 'malformed'
+                   WHEN len(list_filter(from_json(features, '["JSON"]'), lambda x: trim(x ->> '$') <> '')) = 0 THEN 'empty'
+                   ELSE 'listed' END AS status
+    FROM offer""",
+    "highlight": """
+    SELECT * FROM (
+        SELECT offer_id, entity_id, plan_name, price_monthly, unnest(range(1, len(items) + 1)) AS place,
+               trim(unnest(items) ->> '$') AS highlight
+        FROM (SELECT *, from_json(features, '["JSON"]') AS items FROM listing WHERE status = 'listed'))
+    WHERE highlight <> ''""",
     "price_log": """
     SELECT o_orderkey AS log_id, CASE WHEN o_orderkey % 4 = 1 THEN 1 ELSE o_custkey END AS entity_id,
            CAST(CASE WHEN o_orderkey % 3 = 0 THEN date_trunc('month', o_orderdate) ELSE o_orderdate END AS DATE)
@@ -139,6 +158,8 @@ def _over(*tables: str, query: str) -> str:
         "summary": ["mart"],
         "paired": ["mart"],
         "enriched": ["offer", "entity"],
+        "listing": ["offer"],
+        "highlight": ["listing"],
         "daily": ["price_log"],
         "logged": ["daily"],
         "monthly": ["daily"],
@@ -633,3 +654,24 @@ ORACLES |= {
               FROM monthly WHERE price IS NOT NULL GROUP BY entity_id, plan_name)""",
     ),
 }
+
+ORACLES |= {
+    "offer_highlights": _over(
+        "highlight",
+        query="SELECT offer_id, entity_id, plan_name, CAST(place AS INTEGER) AS position, highlight FROM highlight",
+    ),
+    "highlight_counts": _over(
+        "highlight",
+        query=f"""
+        SELECT highlight, count(DISTINCT offer_id) AS offer_count, count(DISTINCT entity_id) AS entity_count,
+               {_up("avg(price_monthly)", 2)} AS avg_monthly_price
+        FROM (SELECT DISTINCT highlight, offer_id, entity_id, price_monthly FROM highlight) GROUP BY highlight""",
+    ),
+    "dq_highlight_format": _over(
+        "listing",
+        query=f"""
+        SELECT status AS highlight_status, count(*) AS offer_count,
+               {_even(_pct("count(*)", "(SELECT count(*) FROM listing)"), 1)} AS pct
+        FROM listing GROUP BY status""",
+    ),
+}
