@@ -8,7 +8,7 @@ from ..functions.flags import is_comparable, is_set, is_true_text
 from ..functions.rounding import half_even, percent
 from ..operators import per_entity
 from ..operators.joins import join_lookup
-from ..operators.median import bracket, medians_within
+from ..operators.median import exact_medians
 from ..operators.ordering import in_order
 from ..sources.catalogue import Catalogue
 
@@ -86,35 +86,52 @@ def comparable_price():
     return F.when(F.col("price_comparable"), F.col("entry_price"))
 
 
+_CATEGORY = ["category_slug", "category_name"]
+
+
+def _categorised(mart: DataFrame) -> DataFrame:
+    return mart.dropna(subset=_CATEGORY).withColumn("price", comparable_price())
+
+
+def category_means(mart: DataFrame) -> DataFrame:
+    """Counts and means per category, from the entity mart: the category summary without its medians.
+
+    Entities without a category are left out; prices count only where comparable.
+    """
+    free = percent(F.col("free_tier_count"), F.col("product_count"))
+    return (
+        _categorised(mart)
+        .groupBy(*_CATEGORY)
+        .agg(
+            F.count("entity_id").alias("product_count"),
+            half_even(F.avg("overall_rating"), 2).alias("avg_rating"),
+            F.count_if("has_free_tier").alias("free_tier_count"),
+            half_even(F.avg("feature_count"), 2).alias("avg_feature_count"),
+            half_even(F.avg("price"), 2).alias("avg_entry_price"),
+        )
+        .withColumn("free_tier_pct", half_even(free, 1))
+    )
+
+
 def category_summary(mart: DataFrame, few_categories: bool = False) -> DataFrame:
     """Counts, means and the exact median entry price per category, from the entity mart.
 
-    Entities without a category are left out; prices count only where comparable.
     ``few_categories``: their number is known to be small (``Catalogue.category_is_small``).
     """
-    by = ["category_slug", "category_name"]
-    known = mart.dropna(subset=by).withColumn("price", comparable_price())
-    groups = known.groupBy(*by).agg(
-        F.count("entity_id").alias("product_count"),
-        F.avg("overall_rating").alias("avg_rating"),
-        F.count_if("has_free_tier").alias("free_tier_count"),
-        F.avg("feature_count").alias("avg_feature_count"),
-        F.avg("price").alias("avg_entry_price"),
-        bracket(F.col("price")).alias("bracket"),
-    )
+    medians = exact_medians(_categorised(mart), "category_slug", "price", few_categories)
+    medians = F.broadcast(medians) if few_categories else medians
     return (
-        medians_within(known, groups, "category_slug", "price", few_categories)
+        category_means(mart)
+        .join(medians, "category_slug", "left")
         .select(
-            *by,
+            *_CATEGORY,
             "product_count",
-            half_even(F.col("avg_rating"), 2).alias("avg_rating"),
+            "avg_rating",
             "free_tier_count",
-            half_even(F.col("avg_feature_count"), 2).alias("avg_feature_count"),
-            half_even(F.col("avg_entry_price"), 2).alias("avg_entry_price"),
+            "avg_feature_count",
+            "avg_entry_price",
             half_even(F.col("median"), 2).alias("median_entry_price"),
-            half_even(percent(F.col("free_tier_count"), F.col("product_count")), 1).alias(
-                "free_tier_pct"
-            ),
+            "free_tier_pct",
         )
         .orderBy(F.desc("product_count"), "category_slug")
     )

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,13 +44,23 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     return context.getCheckpointDir()
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder, not yet made, below the checkpoint folder that the cluster names.
+def _checkpoint_root(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names.
 
     Only a local session, whose tasks all run on this machine, may name none.
     """
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = ensure_checkpoint_dir(spark, named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return ensure_checkpoint_dir(spark, named or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, not yet made, below the checkpoint folder."""
+    return f"{_checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` run and stored in the checkpoint folder; what follows starts from there."""
+    _checkpoint_root(df.sparkSession)
+    return df.checkpoint()

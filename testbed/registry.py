@@ -40,7 +40,7 @@ def _mart_counters(c: Catalogue) -> DataFrame:
     return quality.mart_counters(
         {
             "products_clean": _mart(c),
-            "category_summary": _summary(c),
+            "category_summary": marts.category_means(_mart(c)),
             "pricing_plans_clean": marts.offers_enriched(c),
             "features_clean": marts.clean_attributes(c),
         }
@@ -54,7 +54,9 @@ def _query(name: str, plan: jobs.Plan, source: Callable[[Catalogue], object]) ->
 _SOURCES = (
     (jobs.ON_CATALOGUE | jobs.AT_DATES, lambda c: c),
     ({"entity_mart": lambda mart: mart} | jobs.ON_MART, _mart),
-    ({"category_summary": lambda summary: summary} | jobs.ON_SUMMARY, _summary),
+    ({"category_summary": lambda summary: summary}, _summary),
+    # These need no median, so none is made for them.
+    (jobs.ON_SUMMARY, lambda c: marts.category_means(_mart(c))),
     (jobs.ON_OFFERS, lambda c: c.offer),
     (jobs.ON_ENRICHED, marts.offers_enriched),
     ({"dq_mart_counters": lambda counters: counters}, _mart_counters),
