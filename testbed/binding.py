@@ -150,6 +150,13 @@ def bind(spark: SparkSession, sf_dir: str) -> Catalogue:
     )
 
 
+def verticals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A category's region; one region is no vertical."""
+    region = F.substring_index("slug", "-", 1)
+    leaves = bind(spark, sf_dir).category.filter(F.col("slug") != UMBRELLA)
+    return leaves.select(F.col("slug").alias("category_slug"), region.alias("vertical")).filter("vertical != 'europe'")
+
+
 def part_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with their name as slug: unlike customer names, part names do repeat."""
     return table(spark, sf_dir, "part").select(

@@ -141,6 +141,9 @@ _TABLES = {
            {_even(_pct("count(*) FILTER (WHERE has_free_tier)", "count(*)"), 1)} AS free_tier_pct
     FROM mart WHERE category_slug IS NOT NULL AND category_name IS NOT NULL
     GROUP BY category_slug, category_name""",
+    "placed": """
+    SELECT *, CASE WHEN category_slug NOT LIKE 'europe-%' THEN split_part(category_slug, '-', 1) END AS vertical
+    FROM mart""",
     "paired": """
     SELECT * FROM mart
     WHERE price_comparable AND overall_rating IS NOT NULL AND entry_price > 0""",
@@ -157,6 +160,7 @@ def _over(*tables: str, query: str) -> str:
         "mart": ["clean_category", "entity", "entry", "attribute"],
         "summary": ["mart"],
         "paired": ["mart"],
+        "placed": ["mart"],
         "enriched": ["offer", "entity"],
         "listing": ["offer"],
         "highlight": ["listing"],
@@ -675,3 +679,34 @@ ORACLES |= {
         FROM listing GROUP BY status""",
     ),
 }
+
+ORACLES |= {
+    "market_export": _over(
+        "placed",
+        query="""
+        SELECT name AS tool_name, category_slug AS category, vertical, has_free_tier AS free_plan,
+               CASE WHEN price_comparable THEN entry_price END AS starting_price_usd,
+               CASE WHEN price_comparable THEN max_price_monthly END AS highest_plan_price_usd,
+               CAST(coalesce(plan_count, 0) AS INTEGER) AS plan_count, overall_rating AS rating,
+               CAST(feature_count AS INTEGER) AS features_count, website_url AS website
+        FROM placed""",
+    ),
+    "benchmark_by_vertical": _over(
+        "placed",
+        query=f"""
+        SELECT CASE e.grouping_id WHEN 0 THEN 'category' WHEN 1 THEN 'vertical' ELSE 'all' END AS level,
+               CAST(e.grouping_id AS INTEGER) AS grouping_id, e.vertical, e.category, tool_count, avg_rating,
+               {_even("p.median", 2)} AS median_price, free_plan_pct
+        FROM (SELECT grouping_id(vertical, category_slug) AS grouping_id, vertical, category_slug AS category,
+                     count(*) AS tool_count, {_even("avg(overall_rating)", 2)} AS avg_rating,
+                     CAST({_even(_pct("count(*) FILTER (WHERE has_free_tier)", "count(*)"), 0)} AS INTEGER) AS free_plan_pct
+              FROM placed WHERE category_slug IS NOT NULL
+              GROUP BY GROUPING SETS ((vertical, category_slug), (vertical), ())) e
+        LEFT JOIN (SELECT grouping_id(vertical, category_slug) AS grouping_id, vertical, category_slug AS category,
+                          median(price_monthly) AS median
+                   FROM placed JOIN offer USING (entity_id) WHERE category_slug IS NOT NULL AND price_monthly > 0
+                   GROUP BY GROUPING SETS ((vertical, category_slug), (vertical), ())) p
+        ON e.grouping_id = p.grouping_id AND e.vertical IS NOT DISTINCT FROM p.vertical
+           AND e.category IS NOT DISTINCT FROM p.category""",
+    ),
+}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tariffscope.functions.rounding import half_up
-from tariffscope.plans import jobs, marts, quality
+from tariffscope.plans import jobs, market, marts, quality
 from tariffscope.sources.catalogue import Catalogue
 from tariffscope.session import shared_folder
 from tariffscope.sources.loading import first_wins
@@ -93,6 +93,14 @@ QUERIES["load_first_wins"] = lambda spark, sf_dir: first_wins(
     b.part_slugs(spark, sf_dir), None, (("slug",),), ["part_id"]
 )
 
+# The market by vertical: nations by their region.
+QUERIES["market_export"] = lambda spark, sf_dir: market.market_export(
+    _mart(b.bind(spark, sf_dir)), b.verticals(spark, sf_dir), b.bind(spark, sf_dir).category_is_small
+)
+QUERIES["benchmark_by_vertical"] = lambda spark, sf_dir: market.benchmark_by_vertical(
+    b.bind(spark, sf_dir), b.verticals(spark, sf_dir), **b.CLEANING
+)
+
 
 def price_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The price log as a stream: changes of the days that its last snapshot, less the delay, has passed."""

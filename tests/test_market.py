@@ -1,0 +1,85 @@
+"""Market export and benchmarks against plain loops."""
+
+import random
+import statistics
+from dataclasses import replace
+from decimal import ROUND_HALF_EVEN, Decimal
+
+import pytest
+
+from tariffscope.plans import market, marts
+from tariffscope.sources.roles import FLAT_EXPORT_SCHEMA
+
+from conftest import role_frame, rows_of
+
+VERTICALS = {"llm": "AI", "ai-image": "AI", "crm": "Business"}  # none for dex
+
+
+@pytest.fixture(scope="module")
+def verticals(spark):
+    return spark.createDataFrame(list(VERTICALS.items()), "category_slug string, vertical string")
+
+
+def rounded(x, places):
+    return None if x is None else float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_EVEN))
+
+
+def brute(entities, offers, slugs):
+    found = []
+    keyed = [(slugs[e["category_id"]], e) for e in entities if e["category_id"] in slugs]
+    groups = {}
+    for slug, e in keyed:
+        vertical = VERTICALS.get(slug)
+        for key in ((0, vertical, slug), (1, vertical, None), (3, None, None)):
+            groups.setdefault(key, []).append(e)
+    for (level, vertical, slug), members in groups.items():
+        ids = {e["entity_id"] for e in members}
+        ratings = [e["overall_rating"] for e in members if e["overall_rating"] is not None]
+        prices = [p for i, p in offers if i in ids and p is not None and p > 0]
+        free = 100.0 * sum(bool(e["has_free_tier"]) for e in members) / len(members)
+        found.append((
+            market.LEVELS[level], level, vertical, slug, len(members),
+            rounded(sum(ratings) / len(ratings), 2) if ratings else None,
+            rounded(statistics.median(prices), 2) if prices else None, int(rounded(free, 0)),
+        ))
+    return sorted(found, key=repr)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_benchmark_equals_loops(spark, catalogue, verticals, few):
+    """Half of all entities are in one category, and half of all offers are one entity's."""
+    rng = random.Random(9)
+    slugs = {r.category_id: r.slug for r in catalogue.category.collect() if r.slug != "ai-tools"}
+    entities = [
+        {"entity_id": i, "slug": f"e{i}", "name": f"E{i}", "category_id": rng.choice([4, 4, 4, 2, 3, 5, 1, None, 99]),
+         "overall_rating": rng.choice([None, 3.5, 4.0, 4.25]), "has_free_tier": rng.choice([True, False, None])}
+        for i in range(120)
+    ]
+    offers = [(rng.choice([7, rng.randrange(130)]), rng.choice([None, 0.0, round(rng.uniform(1, 90), 2)])) for _ in range(600)]
+    frame = role_frame(spark, "offer", [{"offer_id": n, "entity_id": e, "price_monthly": p} for n, (e, p) in enumerate(offers)])
+    c = replace(catalogue, entity=role_frame(spark, "entity", entities), offer=frame, category_is_small=few)
+    found = rows_of(market.benchmark_by_vertical(c, verticals))
+    assert sorted(found, key=repr) == brute(entities, offers, slugs)
+    assert [r[1] for r in found] == sorted(r[1] for r in found)
+
+
+def test_over_all_is_not_a_category_without_a_vertical(catalogue, verticals):
+    found = {tuple(r)[:4]: r for r in market.benchmark_by_vertical(catalogue, verticals).collect()}
+    assert found["vertical", 1, None, None].tool_count == 1  # dex
+    assert found["all", 3, None, None].tool_count == 8
+    assert found["category", 0, None, "dex"].median_price == 0.01
+
+
+def test_nothing_is_benchmarked_without_entities(spark, catalogue, verticals):
+    c = replace(catalogue, entity=role_frame(spark, "entity", []))
+    assert [r.tool_count for r in market.benchmark_by_vertical(c, verticals).collect()] in ([], [0])
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_export_has_the_flat_files_columns(spark, catalogue, verticals, few):
+    flat = market.market_export(marts.entity_mart(catalogue), verticals, few)
+    assert flat.dtypes == spark.createDataFrame([], FLAT_EXPORT_SCHEMA).dtypes
+    rows = {r.tool_name: r for r in flat.collect()}
+    assert tuple(rows["Alpha"])[1:9] == ("llm", "AI", True, 10.0, 10.0, 4, 4.5, 2)
+    assert rows["Gas"].vertical is None and rows["Gas"].starting_price_usd is None
+    assert rows["Hub"].category is None and rows["Ink"].plan_count == 0
