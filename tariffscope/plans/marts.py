@@ -86,11 +86,12 @@ def comparable_price():
     return F.when(F.col("price_comparable"), F.col("entry_price"))
 
 
-_CATEGORY = ["category_slug", "category_name"]
+CATEGORY = ["category_slug", "category_name"]
 
 
-def _categorised(mart: DataFrame) -> DataFrame:
-    return mart.dropna(subset=_CATEGORY).withColumn("price", comparable_price())
+def categorised(mart: DataFrame) -> DataFrame:
+    """Entities that have a category, with their comparable ``price``."""
+    return mart.dropna(subset=CATEGORY).withColumn("price", comparable_price())
 
 
 def category_means(mart: DataFrame) -> DataFrame:
@@ -100,8 +101,8 @@ def category_means(mart: DataFrame) -> DataFrame:
     """
     free = percent(F.col("free_tier_count"), F.col("product_count"))
     return (
-        _categorised(mart)
-        .groupBy(*_CATEGORY)
+        categorised(mart)
+        .groupBy(*CATEGORY)
         .agg(
             F.count("entity_id").alias("product_count"),
             half_even(F.avg("overall_rating"), 2).alias("avg_rating"),
@@ -113,18 +114,22 @@ def category_means(mart: DataFrame) -> DataFrame:
     )
 
 
-def category_summary(mart: DataFrame, few_categories: bool = False) -> DataFrame:
+def category_summary(
+    mart: DataFrame, few_categories: bool = False, medians: DataFrame | None = None
+) -> DataFrame:
     """Counts, means and the exact median entry price per category, from the entity mart.
 
-    ``few_categories``: their number is known to be small (``Catalogue.category_is_small``).
+    ``few_categories``: their number is known to be small (``Catalogue.category_is_small``).  ``medians``
+    (category_slug, median) are given to take estimates from stored sketches (``estimates.estimated_medians``) instead.
     """
-    medians = exact_medians(_categorised(mart), "category_slug", "price", few_categories)
+    if medians is None:
+        medians = exact_medians(categorised(mart), "category_slug", "price", few_categories)
     medians = F.broadcast(medians) if few_categories else medians
     return (
         category_means(mart)
         .join(medians, "category_slug", "left")
         .select(
-            *_CATEGORY,
+            *CATEGORY,
             "product_count",
             "avg_rating",
             "free_tier_count",

@@ -710,3 +710,20 @@ ORACLES |= {
            AND e.category IS NOT DISTINCT FROM p.category""",
     ),
 }
+
+# Estimates are random within their error: the oracle says that each is near, and what it is an estimate of.
+ORACLES |= {
+    "estimated_median_errors": _over(
+        "mart",
+        query="""
+        SELECT category_slug, count(*) AS prices, TRUE AS is_near
+        FROM mart WHERE category_slug IS NOT NULL AND price_comparable AND entry_price IS NOT NULL
+        GROUP BY category_slug""",
+    ),
+    "estimated_count_errors": _over(
+        "mart",
+        query="""
+        SELECT category_slug, count(*) AS exact, TRUE AS is_near
+        FROM mart WHERE category_slug IS NOT NULL GROUP BY category_slug""",
+    ),
+}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tariffscope.functions.rounding import half_up
-from tariffscope.plans import jobs, market, marts, quality
+from tariffscope.plans import estimates, jobs, market, marts, quality
 from tariffscope.sources.catalogue import Catalogue
 from tariffscope.session import shared_folder
 from tariffscope.sources.loading import first_wins
@@ -102,6 +102,30 @@ QUERIES["benchmark_by_vertical"] = lambda spark, sf_dir: market.benchmark_by_ver
 )
 
 
+def _sketches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The mart, and category sketches made of two halves of it and merged."""
+    mart = _mart(b.bind(spark, sf_dir))
+    halves = [estimates.category_sketches(mart.where(F.col("entity_id") % 2 == half)) for half in (0, 1)]
+    return mart, estimates.refreshed(*halves)
+
+
+def estimated_median_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each category's estimated median is as near to the middle as it should be."""
+    errors = estimates.median_errors(*_sketches(spark, sf_dir))
+    near = F.col("rank_error") <= estimates.RANK_ERROR + 1 / F.col("prices")
+    return errors.select("category_slug", "prices", near.alias("is_near"))
+
+
+def estimated_count_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each category's estimated number of entities is as near to the true one as it should be."""
+    errors = estimates.count_errors(*_sketches(spark, sf_dir))
+    return errors.select("category_slug", "exact", (F.col("error") <= estimates.COUNT_ERROR).alias("is_near"))
+
+
+QUERIES["estimated_median_errors"] = estimated_median_errors
+QUERIES["estimated_count_errors"] = estimated_count_errors
+
+
 def price_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The price log as a stream: changes of the days that its last snapshot, less the delay, has passed."""
     folder = shared_folder(spark, "alerts")
