@@ -3,7 +3,7 @@
 Nations (and one umbrella region) are the categories, customers the entities, orders
 the offers and the price log, events the attributes.  All rows of these tables are
 used.  The tables hold no missing values, so some are derived: one order status
-stands for offers without a price, low balances for missing ratings.
+stands for offers without a price, low balances for missing ratings.  Prices are few, so that they tie.
 """
 
 from datetime import date
@@ -42,8 +42,9 @@ _LEAF_COLUMNS = (
     "CAST(n_nationkey AS BIGINT) AS category_id",
     "lower(replace(r_name, ' ', '_') || '-' || n_name) AS slug",
     "n_name AS name",
-    # The stated count is wrong for every sixth nation.
-    "coalesce(customers, 0) - CASE WHEN n_nationkey % 6 = 0 THEN 1 ELSE 0 END AS product_count",
+    # The stated count is wrong for every sixth nation, and small for one.
+    "CASE WHEN n_nationkey = 24 THEN 4L ELSE coalesce(customers, 0) - CASE WHEN n_nationkey % 6 = 0 THEN 1 ELSE 0 END"
+    " END AS product_count",
 )
 _UMBRELLA_COLUMNS = (
     "CAST(-1 AS BIGINT) AS category_id",
@@ -55,7 +56,8 @@ _ENTITY_COLUMNS = (
     "c_custkey AS entity_id",
     "lower(c_name) AS slug",
     "c_name AS name",
-    "CAST(c_nationkey AS BIGINT) AS category_id",
+    # One nation keeps only a few customers, and of their orders a few.
+    "CAST(CASE WHEN c_nationkey = 24 AND c_custkey % 40 <> 7 THEN 23 ELSE c_nationkey END AS BIGINT) AS category_id",
     "c_acctbal / 2000 AS g2_rating",
     "CASE WHEN c_acctbal >= 0 THEN 5 - c_acctbal / 2000 END AS capterra_rating",
     "CASE WHEN c_acctbal >= 0 THEN c_acctbal / 2000 END AS overall_rating",
@@ -69,13 +71,14 @@ _ENTITY_COLUMNS = (
 )
 _OFFER_COLUMNS = (
     "o_orderkey AS offer_id",
-    # One customer in forty passes their orders on to the one before, and has none.
-    "CASE WHEN o_custkey % 40 = 7 THEN o_custkey - 1 ELSE o_custkey END AS entity_id",
+    # One customer in forty passes most of their orders on to the one before, and may have none.
+    "CASE WHEN o_custkey % 40 = 7 AND o_orderkey % 8 <> 0 THEN o_custkey - 1 ELSE o_custkey END AS entity_id",
     "o_orderstatus AS plan_name",
+    # Few prices, so that an entity's offers tie.
     "CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderpriority = '5-LOW' THEN 0D "
-    "ELSE o_totalprice / 1000 END AS price_monthly",
+    "ELSE CAST(floor(o_totalprice / 25000) + 1 AS DOUBLE) * 25 END AS price_monthly",
     "o_totalprice / 100 AS price_annual",
-    "o_orderpriority AS billing_model",
+    "CASE WHEN o_orderkey % 29 <> 4 THEN o_orderpriority END AS billing_model",
     "'USD' AS currency",
     # Lists of highlights, and what is none: missing, empty, cut off, no list, or with something behind it.
     """CASE o_orderkey % 12 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN '["' || o_orderpriority || '"'

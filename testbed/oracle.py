@@ -26,8 +26,9 @@ _TABLES = {
     "category": """
     SELECT CAST(n_nationkey AS BIGINT) AS category_id,
            lower(replace(r_name, ' ', '_') || '-' || n_name) AS slug, n_name AS name,
-           CAST((SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey)
-                - CASE WHEN n_nationkey % 6 = 0 THEN 1 ELSE 0 END AS BIGINT) AS product_count
+           CASE WHEN n_nationkey = 24 THEN CAST(4 AS BIGINT)
+                ELSE CAST((SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey)
+                          - CASE WHEN n_nationkey % 6 = 0 THEN 1 ELSE 0 END AS BIGINT) END AS product_count
     FROM nation JOIN region ON n_regionkey = r_regionkey
     UNION ALL
     SELECT CAST(-1 AS BIGINT), 'asia', 'Asia', CAST(count(*) AS BIGINT)
@@ -35,7 +36,7 @@ _TABLES = {
     JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'""",
     "entity": """
     SELECT c_custkey AS entity_id, lower(c_name) AS slug, c_name AS name,
-           CAST(c_nationkey AS BIGINT) AS category_id,
+           CAST(CASE WHEN c_nationkey = 24 AND c_custkey % 40 <> 7 THEN 23 ELSE c_nationkey END AS BIGINT) AS category_id,
            c_acctbal / 2000 AS g2_rating,
            CASE WHEN c_acctbal >= 0 THEN 5 - c_acctbal / 2000 END AS capterra_rating,
            CASE WHEN c_acctbal >= 0 THEN c_acctbal / 2000 END AS overall_rating,
@@ -49,12 +50,13 @@ _TABLES = {
     FROM customer""",
     "offer": """
     SELECT o_orderkey AS offer_id,
-           CASE WHEN o_custkey % 40 = 7 THEN o_custkey - 1 ELSE o_custkey END AS entity_id,
+           CASE WHEN o_custkey % 40 = 7 AND o_orderkey % 8 <> 0 THEN o_custkey - 1 ELSE o_custkey END AS entity_id,
            o_orderstatus AS plan_name,
            CASE WHEN o_orderstatus = 'P' THEN NULL
                 WHEN o_orderpriority = '5-LOW' THEN CAST(0 AS DOUBLE)
-                ELSE o_totalprice / 1000 END AS price_monthly,
-           o_totalprice / 100 AS price_annual, o_orderpriority AS billing_model,
+                ELSE CAST(floor(o_totalprice / 25000) + 1 AS DOUBLE) * 25 END AS price_monthly,
+           o_totalprice / 100 AS price_annual,
+           CASE WHEN o_orderkey % 29 <> 4 THEN o_orderpriority END AS billing_model,
            'USD' AS currency,
            CASE o_orderkey % 12 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN '["' || o_orderpriority || '"'
                 WHEN 3 THEN '{"a": 1}' WHEN 4 THEN ' ' WHEN 5 THEN 'null' WHEN 6 THEN '["a"] and more'

@@ -211,7 +211,7 @@ def test_only_what_is_bounded_is_broadcast(registered):
 
 
 # Scans of files where nothing is small: without hints, Spark plans each use of a frame anew.
-MOST_SCANS = {"q05_category_leaders": 8, "category_summary": 12, "category_extremes": 12, "dq_mart_counters": 18, "offers_enriched": 4, "view_category_offers": 6}
+MOST_SCANS = {"q05_category_leaders": 8, "category_summary": 12, "category_extremes": 12, "dq_mart_counters": 18, "offers_enriched": 2, "view_category_offers": 6}
 
 
 @needs_data
