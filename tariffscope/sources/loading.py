@@ -12,9 +12,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .roles import Role
 
-_POSITION = "__position"
+_POSITION, _KEPT = "__position", "__kept"
 _Keys = tuple[tuple[str, ...], ...]
 
 
@@ -48,15 +49,19 @@ def first_wins(new: DataFrame, stored: DataFrame | None, keys: _Keys, order_by:
     if len(keys) == 1:
         return rows.select(*new.columns)
 
-    rows, kept = rows.checkpoint(), []
+    rows, kept = checkpointed(rows), None
     while not rows.isEmpty():
         winners = [_first_per(rows, list(key)) for key in keys]
         first_under_all = reduce(
             lambda a, b: a.join(b.select(*key_columns), key_columns, "left_semi"), winners
-        ).checkpoint()
-        kept.append(first_under_all)
-        rows = _without_clashes(rows, first_under_all, keys).checkpoint()
-    return reduce(DataFrame.unionByName, kept, rows).select(*new.columns)
+        )
+        # One table a round: what is kept so far, and what is still open.
+        winning = first_under_all.withColumn(_KEPT, F.lit(True))
+        rest = _without_clashes(rows, first_under_all, keys).withColumn(_KEPT, F.lit(False))
+        settled = checkpointed(winning.unionByName(rest))
+        won, rows = (settled.filter(F.col(_KEPT) == is_won).drop(_KEPT) for is_won in (True, False))
+        kept = won if kept is None else kept.unionByName(won)
+    return (rows if kept is None else kept).select(*new.columns)
 
 
 def load_table(

@@ -171,3 +171,13 @@ def price_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The price log as its files are found, one a batch."""
     orders = spark.readStream.schema(_SCHEMAS["orders"]).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/orders.parquet*")
     return orders.selectExpr(*_PRICE_LOG_COLUMNS)
+
+
+def part_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with two keys that both repeat: name and brand, and type with size."""
+    parts = table(spark, sf_dir, "part")
+    return parts.select(
+        F.col("p_partkey").alias("part_id"),
+        F.concat_ws("-", F.lower("p_name"), "p_brand").alias("slug"),
+        F.concat_ws("-", "p_type", F.col("p_size").cast("string")).alias("kind"),
+    )

@@ -729,3 +729,31 @@ ORACLES |= {
         FROM mart WHERE category_slug IS NOT NULL GROUP BY category_slug""",
     ),
 }
+
+_PART_KEYS = """
+    SELECT p_partkey AS part_id, lower(p_name) || '-' || p_brand AS slug,
+           p_type || '-' || CAST(p_size AS VARCHAR) AS kind FROM part"""
+
+ORACLES |= {
+    # One part after the other: a row of this recursion is a part, with the keys that are taken before it.
+    "load_two_keys": f"""
+        WITH RECURSIVE parts AS ({_PART_KEYS}),
+        numbered AS (SELECT *, row_number() OVER (ORDER BY part_id) AS n FROM parts),
+        loaded AS (
+            SELECT n, part_id, slug, kind, TRUE AS stays, [slug] AS slugs, [kind] AS kinds FROM numbered WHERE n = 1
+            UNION ALL
+            SELECT p.n, p.part_id, p.slug, p.kind,
+                   NOT list_contains(l.slugs, p.slug) AND NOT list_contains(l.kinds, p.kind),
+                   CASE WHEN NOT list_contains(l.slugs, p.slug) AND NOT list_contains(l.kinds, p.kind)
+                        THEN list_append(l.slugs, p.slug) ELSE l.slugs END,
+                   CASE WHEN NOT list_contains(l.slugs, p.slug) AND NOT list_contains(l.kinds, p.kind)
+                        THEN list_append(l.kinds, p.kind) ELSE l.kinds END
+            FROM loaded l JOIN numbered p ON p.n = l.n + 1)
+        SELECT part_id, slug, kind FROM loaded WHERE stays""",
+    "load_into_stored": f"""
+        WITH parts AS ({_PART_KEYS})
+        SELECT min(part_id) AS part_id, slug FROM parts
+        WHERE part_id % 3 <> 0 AND slug NOT IN (SELECT slug FROM parts WHERE part_id % 3 = 0)
+        GROUP BY slug""",
+    "csv_round_trip": ORACLES["entity_mart"],
+}

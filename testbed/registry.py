@@ -10,6 +10,8 @@ from tariffscope.plans import estimates, jobs, market, marts, quality
 from tariffscope.sources.catalogue import Catalogue
 from tariffscope.session import shared_folder
 from tariffscope.sources.loading import first_wins
+from tariffscope.sources.readers import read_mart
+from tariffscope.sources.writers import write_csv
 from tariffscope.streaming.alerts import ALERT_SCHEMA, alert_stream
 
 from . import binding as b
@@ -93,6 +95,29 @@ QUERIES["load_first_wins"] = lambda spark, sf_dir: first_wins(
     b.part_slugs(spark, sf_dir), None, (("slug",),), ["part_id"]
 )
 
+# Loading parts that clash under two keys: a part stays if no part that stays has either key before it.
+QUERIES["load_two_keys"] = lambda spark, sf_dir: first_wins(
+    b.part_keys(spark, sf_dir), None, (("slug",), ("kind",)), ["part_id"]
+)
+
+
+def load_into_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the parts added to what was loaded of the others: stored names win."""
+    parts = b.part_keys(spark, sf_dir).select("part_id", "slug")
+    is_old = F.col("part_id") % 3 == 0
+    stored = first_wins(parts.filter(is_old), None, (("slug",),), ["part_id"])
+    return first_wins(parts.filter(~is_old), stored, (("slug",),), ["part_id"])
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity mart written as CSV and read back under its declared schema."""
+    folder = shared_folder(spark, "csv")
+    write_csv(_mart(b.bind(spark, sf_dir)), f"{folder}/products_clean")
+    return read_mart(spark, folder, "products_clean", "csv")
+
+
+QUERIES["load_into_stored"] = load_into_stored
+QUERIES["csv_round_trip"] = csv_round_trip
 # The market by vertical: nations by their region.
 QUERIES["market_export"] = lambda spark, sf_dir: market.market_export(
     _mart(b.bind(spark, sf_dir)), b.verticals(spark, sf_dir), b.bind(spark, sf_dir).category_is_small
