@@ -48,7 +48,7 @@ STYLES = (
 UNMARKED_PERCENT = 12
 _ROLE_OF = {name: role for role, names in NAMES.items() for name in names}
 _NAME = "|".join(sorted(_ROLE_OF, key=len, reverse=True))
-MARKER = re.compile(rf"^\s*(?:[#*]+\s*)?(?:[\[(<]\|?\s*({_NAME})\s*\|?[\])>]|({_NAME})\s*[:>])\**\s?", re.IGNORECASE)
+MARKER = re.compile(rf"^\s*(?:[#*]+\s*)?(?:[\[(<]\|?\s*({_NAME})\s*\|?[\])>]|({_NAME})\s*[:>])\**\s?", re.IGNORECASE | re.ASCII)
 LENGTHS = (1, 60, 200)
 SYMBOLS = (len(ROLES) + 1) * (len(LENGTHS) + 1) * 3
 KEY = ["conv", "block"]

@@ -73,3 +73,12 @@ def test_nulls_ties_and_repeats(spark, model):
     assert sum(r.n_lines for r in found) == 1 + 1 + 2 + 2001 + 1
     assert chat.turns(chat.transcript_lines(frame.limit(0)), model).count() == 0
     assert chat.turns(chat.transcript_lines(frame), chat.learn(chat.transcript_lines(frame.limit(0)))).count() > 0
+
+
+def test_letters_that_only_fold_to_a_marker_are_text(spark, model):
+    """The long s and the Kelvin sign are no letters of a marker, in Python as in Spark."""
+    texts = ["u\u017fer: hi", "\u017fystem: x", "a\u017f\u017fistant: y", "\u212a: z"]
+    assert [chat.marker_role(t) for t in texts] == [(3, 0)] * 4
+    frame = spark.createDataFrame([(1, 0, "user", "hi\n" + "\n".join(texts))], "conv_id long, turn int, role string, text string")
+    found = chat.turns(chat.transcript_lines(frame), model).collect()
+    assert all(any(t in r.text for r in found) for t in texts)
