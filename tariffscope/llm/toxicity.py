@@ -150,19 +150,19 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
-    """Each match of a term with the words beside it."""
+    """Each document's matches of terms with the words beside them, each once."""
     matcher = _matcher(model)
     for batch in batches:
         rows = set()
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+        for doc, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "toxic"))):
             folded = fold(text)
             for start, _, _, term in matcher.matches(folded):
                 before = folded[max(0, start - LONGEST * 4) : start].split()[-1:]
                 word, *after = folded[start : start + LONGEST * 8].split()[:2]
-                rows.add((term, " ".join(before), word, " ".join(after), toxic))
+                rows.add((doc, term, " ".join(before), word, " ".join(after), toxic))
         yield pa.RecordBatch.from_pylist(
-            [dict(zip(("term", "before", "word", "after", "toxic"), r)) for r in rows],
-            pa.schema([*((n, pa.string()) for n in ("term", "before", "word", "after")), ("toxic", pa.int32())]),
+            [dict(zip(("doc", "term", "before", "word", "after", "toxic"), r)) for r in rows],
+            pa.schema([("doc", pa.int64()), *((n, pa.string()) for n in ("term", "before", "word", "after")), ("toxic", pa.int32())]),
         )
 
 
@@ -232,17 +232,18 @@ def learn(
     # How many different surroundings a term has in toxic texts, and phrases that only clean ones have.
     folded_exceptions = [fold(e) for e in exceptions]
     model = json.dumps({"weights": weights, "exceptions": folded_exceptions})
-    found = sample.mapInArrow(
-        lambda batches: _contexts(batches, model), "term string, before string, word string, after string, toxic int"
+    found = sample.withColumn("doc", F.xxhash64("text")).mapInArrow(
+        lambda batches: _contexts(batches, model),
+        "doc long, term string, before string, word string, after string, toxic int",
     )
     contexts = found.where("toxic = 1").select("term", "before", "word", "after").distinct().groupBy("term").count()
     varied = {r["term"] for r in contexts.where(F.col("count") >= LEAST_CONTEXTS).collect()}
     weights = {t: w for t, w in weights.items() if t in varied}
     phrases = found.select(
-        "toxic", F.explode(F.array(F.concat_ws(" ", "before", "word"), F.concat_ws(" ", "word", "after"))).alias("phrase")
+        "doc", "toxic", F.explode(F.array(F.concat_ws(" ", "before", "word"), F.concat_ws(" ", "word", "after"))).alias("phrase")
     )
     spared = (
-        phrases.where("phrase like '% %'").groupBy("phrase")
+        phrases.where("phrase like '% %'").distinct().groupBy("phrase")
         .agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
         .where(f"toxic = 0 and clean >= {LEAST_DOCUMENTS}")
         .orderBy(F.col("clean").desc(), "phrase").limit(MAX_TERMS)
@@ -252,6 +253,7 @@ def learn(
     rows = sample.mapInArrow(
         lambda batches: _features(batches, model), "total double, density double, toxic int"
     ).toPandas()  # at most 2 * per_class rows of three numbers
+    rows = rows.sort_values(list(rows.columns))  # sums of doubles depend on their order
     coef = _logistic(rows[["total", "density"]].to_numpy(), rows["toxic"].to_numpy())
     return json.dumps({"weights": weights, "exceptions": folded_exceptions, "coef": coef})
 

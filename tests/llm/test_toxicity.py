@@ -62,3 +62,17 @@ def test_no_labels_and_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.assess(documents, none).collect()] == [0.0]
     assert toxicity.assess(documents.where(F.lit(False)), none).count() == 0
+
+
+def test_the_model_does_not_depend_on_batches(spark):
+    rows, labels = corpus()
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    models = set()
+    for size, parts in ((10_000, 1), (10, 5), (3, 2)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+            models.add(toxicity.learn(documents, table))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(models) == 1 and " snarp engine " in models.pop()
