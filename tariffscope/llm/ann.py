@@ -14,7 +14,8 @@ a third of all rows share is one node too.
 
 Defined results: vectors that are null, empty, zero, or hold nulls or components that are not finite take no
 part, nor do rows without an id; a query's own id is never its neighbour; of vectors of several dimensions, each
-meets only its own; rows that repeat an id and vector are one; empty tables give an empty result.
+meets only its own; rows that repeat an id and vector are one; an id with several vectors is one neighbour and one query, by
+the best score of any of them; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -245,5 +246,6 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int =
         .mapInArrow(lambda batches: _answers(batches, k, beam), "query_id long, vec_id long, score double"), "answers",
     )
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order))
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -42,3 +42,10 @@ def test_recall_against_brute_force(spark, monkeypatch):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "vec_id long, vector array<float>")
     assert ann.nearest(empty, empty).count() == 0
+
+
+def test_an_id_with_several_vectors_counts_by_its_best(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [5.0, 0.0]), (1, [0.0, 2.0]), (2, [0.0, 4.0]), (3, [0.5, 0.5])]
+    table = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    found = ann.nearest(table, table.where("vec_id = 0"), k=3).orderBy("rank").collect()
+    assert [tuple(r) for r in found] == [(0, 1, 1, 5.0), (0, 2, 2, 4.0), (0, 3, 3, 0.5)]
