@@ -138,7 +138,7 @@ def test_large_category_table_is_not_broadcast(frames, monkeypatch):
 
 def test_everything_runs_from_stored_tables(spark, csv_root, tmp_path):
     names = run(spark, csv_root, str(tmp_path / "out"), "csv", "parquet")
-    assert len(names) == 47 == len(set(names))
+    assert len(names) == 54 == len(set(names))
     counts = spark.read.parquet(str(tmp_path / "out/results/dq_table_row_counts"))
     assert dict(rows_of(counts))["pricing_plans"] == 2
     kpis = spark.read.parquet(str(tmp_path / "out/results/kpi_board"))
