@@ -32,6 +32,7 @@ CAPACITY = 4096
 END_ID = 2
 # Words whose ids a task remembers; memory is bounded, results do not depend on it.
 CACHED_WORDS, LONGEST_CACHED = 1_200_000, 48
+TEXTS_AT_ONCE = 256
 SIGNS = "!#$%&()*+,-./:;=?@[]^_`{}~"
 
 
@@ -49,6 +50,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        # Words met before are remembered here, so the tokenizer's own memory of words only costs time.
+        model = self.tokenizer.model
+        model._resize_cache(0)
+        self.tokenizer.model = model
         self.known: dict[str, bytes] = {}
         closing = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -123,8 +128,8 @@ def _pieces_of(batches: Iterator[pa.RecordBatch], tokenizer_path: str, capacity:
     end = np.asarray([end_id], dtype="<u4").tobytes()
     filled = [0] * capacity.bit_length()
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            part = batch.slice(at, TEXTS_AT_ONCE)
             rows, ids = [], []
             coded = words.encode([t or "" for t in part.column("text").to_pylist()])
             for doc_id, code in zip(part.column("doc_id").to_pylist(), coded):
