@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_OPENED: ContextVar[list[Scratch] | None] = ContextVar("opened", default=None)
+
+
 class Scratch:
     """Tables written to a new shared folder and read back. They cut the lineage: what
     follows neither recomputes what came before nor depends on any one executor."""
@@ -30,6 +36,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        if (opened := _OPENED.get()) is not None:
+            opened.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -47,9 +55,28 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(self.path(name))
+
+    def drop_all(self) -> None:
+        self._delete(self.folder)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Whatever tables are stored inside go at the end: results that still read them have to be stored before, by a
+    Scratch from outside."""
+    token = _OPENED.set([])
+    try:
+        yield
+    finally:
+        for scratch in _OPENED.get():
+            scratch.drop_all()
+        _OPENED.reset(token)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ Lines of more than 2^21 characters are therefore only sure to be found if they a
 Lines are normalised once and stored, and occur as numbers in all joins; texts are fetched for candidates only, and of
 all texts only the documents meet their list of removed lines in a shuffle. A line that a third of all documents share is a partial
 aggregate where groups are formed, and its occurrences are spread by adaptive execution where they meet their group.
-Within a bucket no pairs are formed but those with a leading line (``links.leader_links``).
+Within a bucket no pairs are formed but those with a leading line (``links.linked_roots``).
 
 Defined results: a null text stays null, an empty one empty; lines without letters or digits
 are never removed; rows equal in id and text are one document, and each gets its result; null ids
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tariffscope.llm.common import Scratch, document_key, once
-from tariffscope.llm.links import components, leader_links
+from tariffscope.llm.links import linked_roots
 
 SIMILARITY = 0.95
 LANES, LANE_BITS = 3, 21
@@ -118,10 +118,13 @@ def groups_of_lines(parsed: DataFrame, lines: DataFrame, scratch: Scratch) -> Da
             return pairs
         wanted = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
         words = scratch.keep(texts(scratch.keep(wanted, f"wanted{n}")), f"texts{n}")
-        return (
+        good = (
             pairs.join(words.toDF("a", "words_a"), "a").join(words.toDF("b", "words_b"), "b")
             .where(_alike("words_a", "words_b")).select("a", "b")
         )
+        good = scratch.keep(good, f"good{n}")
+        scratch.drop(f"near{n}", f"wanted{n}", f"texts{n}")
+        return good
 
     def verified_nodes(pairs: DataFrame) -> DataFrame:
         """The same for pairs (node, leader) of lines with their SimHashes."""
@@ -131,8 +134,8 @@ def groups_of_lines(parsed: DataFrame, lines: DataFrame, scratch: Scratch) -> Da
     # Every line is a node of its own, also among others of its SimHash: these may be unlike it, and like other lines.
     members = distinct.select(F.explode_outer(_block_keys("sim")).alias("bucket"), F.struct("sim", "line").alias("node"))
     close = F.expr(f"bit_count(node.sim ^ leader.sim) <= {MOST_BITS}")
-    links = leader_links(members, verified_nodes, scratch, close)
-    return components(links.select(F.col("node.line").alias("a"), F.col("leader.line").alias("b")), scratch).toDF("line", "root")
+    roots = linked_roots(members, verified_nodes, scratch, close)
+    return roots.select(F.col("node.line").alias("line"), F.col("root.line").alias("root"))
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
@@ -143,8 +146,9 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     roots = groups_of_lines(parsed, lines, scratch)
     placed = scratch.keep(
         lines.join(roots, "line", "left")
-        .select("doc", "doc_hash", "line_no", F.coalesce("root", "line").alias("group")), "placed",
+        .select("doc", "doc_hash", "line_no", F.coalesce("root", "line").alias("group")), "places",
     )
+    scratch.drop("parsed", "lines")
     place = F.struct("doc", "doc_hash", "line_no")
     firsts = placed.groupBy("group").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     rest = placed.join(firsts, "group").where(place != F.col("first"))

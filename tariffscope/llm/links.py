@@ -1,4 +1,4 @@
-"""Links within buckets without all pairs, and connected components, as rounds of joins."""
+"""Components of links within buckets without all pairs, and connected components, as rounds of joins."""
 
 from __future__ import annotations
 
@@ -11,58 +11,73 @@ from pyspark.sql import functions as F
 from tariffscope.llm.common import Scratch
 
 
-# Members of a bucket that are all compared with each other; more of them follow a leader. What is left of a bucket
-# after that is mostly unlike, so later rounds compare up to twice as many each time, and at last MOST.
-FEW, MOST = 16, 128
+# Members of a bucket that are all compared with each other; in a larger one, so many of them at first lead the others, and
+# twice as many in each later round.
+FEW, LEADERS = 16, 8
 # The round after which what is left of large buckets is dealt out anew, if there is a way.
-REFINED = 1
+REFINED = 2
 
 
-def leader_links(
+def linked_roots(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
     plausible: Column | None = None,
     refine: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Verified links (node, leader) between members (bucket, node) of the same bucket.
+    """``node`` and ``root``, the smallest node of its component, for members (bucket, node) linked to others. Links are the
+    pairs in one bucket that ``verify`` accepts.
 
-    In a bucket of at most FEW members, all are compared. In a larger one the smallest node
-    leads, and the others are compared with it: those that match are linked and leave the bucket, as does the leader; the
-    rest go into the next round. So a bucket of one family costs as many comparisons as
-    it has members, however large it is. Rounds go on until no bucket has two members left: each node is linked, or has
-    been compared with all leaders of its buckets or been one itself.
+    In a bucket of at most FEW members, all are compared. In a larger one some lead: one of each of so many groups of its
+    nodes, and one of each of so many groups of its components. They are compared with all members of other components and then leave
+    the bucket. A bucket goes when one component holds what is left of it. So no pair is given up unless it was
+    compared or its ends are connected, and a bucket of one family costs a few comparisons for each
+    member, however large it is.
 
-    ``verify`` takes distinct pairs (node, leader) and returns those that match; pairs that are not
+    ``verify`` takes distinct pairs (node, leader) and returns those that match, stored; pairs that are not
     ``plausible`` by their values alone never reach it. ``refine`` takes what is left of large buckets and gives
     it smaller ones, where members agree in more.
     """
-    rest, links, tried = members, None, None
+    rest, links, tried, roots = members, None, None, None
     for n in count():
-        sizes = rest.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size"))
-        placed = scratch.keep(rest.join(sizes.where("size > 1"), "bucket"), f"placed{n}")
+        root = F.lit(None).cast(members.schema["node"].dataType) if roots is None else F.col("root")
+        labelled = rest if roots is None else rest.join(roots, "node", "left")
+        labelled = scratch.keep(labelled.select("bucket", "node", F.coalesce(root, "node").alias("root")), f"labelled{n}")
+        if n:
+            scratch.drop(f"placed{n - 1}", f"leaders{n - 1}", f"labelled{n - 1}")
+        sizes = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+        placed = scratch.keep(labelled.join(sizes.where("low != high").select("bucket", "size"), "bucket"), f"placed{n}")
         if placed.isEmpty():
             break
-        most = min(FEW << n, MOST)
-        few = placed.where(f"size <= {most}").select("bucket", "node")
-        led = placed.where(f"size > {most} and node != leader").select("bucket", "node", "leader")
-        pairs = few.join(few.toDF("bucket", "leader"), "bucket").where("node > leader").select("node", "leader")
-        pairs = pairs.union(led.select("node", "leader"))
+        few, many = placed.where(f"size <= {FEW}"), placed.where(f"size > {FEW}")
+        groups = LEADERS << n
+        by = F.explode(F.array(*(
+            F.struct(F.lit(k).alias("kind"), F.pmod(F.xxhash64(c, F.lit(n)), F.lit(groups)).alias("group")) for k, c in enumerate(("node", "root"))
+        )))
+        first = F.min(F.struct(F.xxhash64("node").alias("order"), "node", "root")).alias("first")
+        leaders = many.select("bucket", "node", "root", by.alias("by")).groupBy("bucket", "by").agg(first)
+        leaders = scratch.keep(
+            leaders.select("bucket", F.col("first.node").alias("leader"), F.col("first.root").alias("leader_root")).distinct(), f"leaders{n}"
+        )
+        pairs = few.join(few.select("bucket", F.col("node").alias("leader"), F.col("root").alias("leader_root")), "bucket")
+        pairs = pairs.where("node > leader and root != leader_root").select("node", "leader")
+        led = many.join(leaders, "bucket").where("root != leader_root")
+        pairs = pairs.union(led.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")))
         pairs = (pairs if plausible is None else pairs.where(plausible)).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["node", "leader"], "left_anti")
         pairs = scratch.keep(pairs, f"pairs{n}")
         tried = pairs if tried is None else tried.union(pairs)
         if not pairs.isEmpty():
-            good = scratch.keep(verify(pairs), f"links{n}")
+            good = verify(pairs).toDF("a", "b")
             links = good if links is None else links.union(good)
-        rest = led if links is None else led.join(links, ["node", "leader"], "left_anti")
-        rest = rest.select("bucket", "node")
+            roots = components(links, scratch)
+        rest = many.select("bucket", "node").join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
         if n == REFINED and refine is not None:
             rest = refine(rest)
-    if links is None:
-        return members.select("node", F.col("node").alias("leader")).limit(0)
-    return links
+    if roots is None:
+        return members.select("node", F.col("node").alias("root")).limit(0)
+    return roots
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -72,6 +87,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     ends point to, until none is left. Sizes halve at least, apart from long descending chains'
     ends, and a node with many neighbours is one row of a partial aggregate.
     """
+    scratch = Scratch(scratch.spark, "components")
     edges = scratch.keep(
         edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges"
     )
@@ -90,5 +106,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         moved = edges.join(lowest.toDF("a", "low_a"), "a").join(lowest.toDF("b", "low_b"), "b")
         moved = moved.select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b"))
         edges = scratch.keep(moved.where("a != b").distinct(), f"edges{n}")
+        scratch.drop(f"lowest{n}", *([f"roots{n - 1}", f"edges{n - 1}"] if n else ["edges"]))
         if edges.isEmpty():
             return roots

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tariffscope.llm.common import Scratch
-from tariffscope.llm.links import FEW, components, leader_links
+from tariffscope.llm.links import FEW, LEADERS, components, linked_roots
 
 
 def roots_of(edges):
@@ -31,7 +31,7 @@ def test_components_of_chains_stars_and_cycles(spark):
 
 
 def test_a_large_bucket_is_linked_without_all_pairs(spark):
-    size, families = 300, 3
+    size, families = 600, 3
     members = spark.range(size).select(F.lit(7).cast("long").alias("bucket"), F.col("id").alias("node"))
     compared = []
 
@@ -39,10 +39,26 @@ def test_a_large_bucket_is_linked_without_all_pairs(spark):
         compared.append(pairs.count())
         return pairs.where(F.col("node") % families == F.col("leader") % families)
 
-    links = [tuple(r) for r in leader_links(members, verify, Scratch(spark, "t")).collect()]
-    assert len(set(roots_of(links).values())) == families and len(roots_of(links)) == size
-    assert sum(compared) <= families * size
+    roots = {r.node: r.root for r in linked_roots(members, verify, Scratch(spark, "t"), F.expr("node % 3 = leader % 3")).collect()}
+    assert roots == {k: k % families for k in range(size)}
+    assert sum(compared) <= 2 * LEADERS * size
 
     small = members.where(F.col("node") < FEW)
-    links = {tuple(r) for r in leader_links(small, lambda p: p, Scratch(spark, "t"), F.expr("node - leader = 1")).collect()}
-    assert links == {(k + 1, k) for k in range(FEW - 1)}
+    roots = linked_roots(small, lambda p: p, Scratch(spark, "t"), F.expr("node - leader = 1"))
+    assert {r.node: r.root for r in roots.collect()} == {k: 0 for k in range(FEW)}
+
+
+def test_no_link_is_lost_in_a_large_bucket(spark):
+    """Only neighbours of a chain match, and one in ten of its nodes matches nothing; the chain is found whole, beyond FEW members too."""
+    for size in (FEW + 1, 120):
+        members = spark.range(size).select(F.lit(1).cast("long").alias("bucket"), F.xxhash64("id", F.lit(4)).alias("node"), "id")
+        places = members.select("node", "id").cache()
+        chained = lambda a, b: f"abs({a} - {b}) <= 2 and {a} % 10 != 9 and {b} % 10 != 9"
+
+        def verify(pairs):
+            placed = pairs.join(places.toDF("node", "x"), "node").join(places.toDF("leader", "y"), "leader")
+            return placed.where(chained("x", "y")).select("node", "leader")
+
+        roots = linked_roots(members.select("bucket", "node"), verify, Scratch(spark, "t"))
+        found = roots.join(places, "node").select("id", "root").collect()
+        assert sorted(r.id for r in found) == [k for k in range(size) if k % 10 != 9] and len({r.root for r in found}) == 1
