@@ -79,6 +79,14 @@ def passing() -> Iterator[None]:
         _OPENED.reset(token)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until none of the ``columns`` is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

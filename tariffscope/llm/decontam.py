@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tariffscope.llm.common import Scratch, document_key, once
+from tariffscope.llm.common import Scratch, document_key, once, unused
 
 # Items of SPAN tokens and more have the masks of SPAN.
 SPAN = 12
@@ -130,5 +130,6 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` that overlap with no item; of ids that rows share, all go if one does."""
-    found = overlaps(documents, benchmark).select(F.col("doc_id").alias("found_id")).distinct()
-    return documents.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti")
+    name = unused(documents.columns, "found_id")
+    found = overlaps(documents, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(found, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

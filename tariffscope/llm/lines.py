@@ -26,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tariffscope.llm.common import Scratch, document_key, once
+from tariffscope.llm.common import Scratch, document_key, once, unused
 from tariffscope.llm.links import linked_roots
 
 SIMILARITY = 0.95
@@ -159,17 +159,18 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     """``documents`` with the repeated lines taken out of ``text``, and n_lines and n_removed."""
     documents = documents.drop("n_lines", "n_removed")
     columns = documents.columns
-    removed = removed_lines(documents).toDF("_doc", "_hash", "_removed")
+    key, key_hash, gone = (unused(columns, c) for c in ("_doc", "_hash", "_removed"))
+    removed = removed_lines(documents).toDF(key, key_hash, gone)
     doc, doc_hash = document_key()
-    keyed = documents.withColumns({"_doc": doc, "_hash": doc_hash})
-    joined = keyed.join(removed.hint("shuffle_hash"), ["_doc", "_hash"], "left")
+    keyed = documents.withColumns({key: doc, key_hash: doc_hash})
+    joined = keyed.join(removed.hint("shuffle_hash"), [key, key_hash], "left")
     lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     text = F.when(
-        F.col("_removed").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+        F.col(gone).isNotNull(), F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     ).otherwise(F.col("text"))
     return joined.select(
         *(text.alias(c) if c == "text" else F.col(c) for c in columns),
         F.coalesce(F.size(F.when(F.col("text").isNotNull(), lines)), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("_removed"), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.size(gone), F.lit(0)).alias("n_removed"),
     )
