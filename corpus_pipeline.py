@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tariffscope.llm import decontam, lines, minhash, packing, toxicity
-from tariffscope.llm.common import Scratch, table
+from tariffscope.llm.common import Scratch, passing, table
 from tariffscope.llm.queries import tokenizer_path
 
 
@@ -57,5 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"{n}-{name}")
+        # What a stage stored on its way goes once its rows are written.
+        with passing():
+            docs = scratch.keep(stage(spark, docs, sf_dir), f"{n}-{name}")
+        if n:
+            scratch.drop(f"{n - 1}-{STAGES[n - 1][0]}")
     return docs
