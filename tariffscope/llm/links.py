@@ -38,7 +38,7 @@ def linked_roots(
     ``plausible`` by their values alone never reach it. ``refine`` takes what is left of large buckets and gives
     it smaller ones, where members agree in more.
     """
-    rest, links, tried, roots = members, None, None, None
+    rest, tried, roots = members, None, None
     for n in count():
         root = F.lit(None).cast(members.schema["node"].dataType) if roots is None else F.col("root")
         labelled = rest if roots is None else rest.join(roots, "node", "left")
@@ -69,9 +69,7 @@ def linked_roots(
         pairs = scratch.keep(pairs, f"pairs{n}")
         tried = pairs if tried is None else tried.union(pairs)
         if not pairs.isEmpty():
-            good = verify(pairs).toDF("a", "b")
-            links = good if links is None else links.union(good)
-            roots = components(links, scratch)
+            roots = _joined(roots, verify(pairs).toDF("a", "b"), scratch, n)
         rest = many.select("bucket", "node").join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
         if n == REFINED and refine is not None:
             rest = refine(rest)
@@ -80,6 +78,21 @@ def linked_roots(
     return roots
 
 
+def _joined(roots: DataFrame | None, links: DataFrame, scratch: Scratch, n: int) -> DataFrame | None:
+    """``roots`` (node, root) after components at both ends of ``links`` (a, b) became one. Only roots are
+    nodes of the graph that is searched, so later rounds cost as much as they add."""
+    if links.isEmpty():
+        return roots
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    if roots is None:
+        known = scratch.keep(ends.select("node", F.col("node").alias("root")), f"known{n}")
+    else:
+        known = scratch.keep(roots.union(ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))), f"known{n}")
+    edges = links.join(known.toDF("a", "root_a"), "a").join(known.toDF("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    merged = components(edges, scratch).toDF("root", "low")
+    return scratch.keep(known.join(merged, "root", "left").select("node", F.coalesce("low", "root").alias("root")), f"joined{n}")
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """The smallest node of each node's component, for the nodes in ``edges`` (a, b).
 
