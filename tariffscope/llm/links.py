@@ -12,10 +12,10 @@ from tariffscope.llm.common import Scratch
 
 
 # Members of a bucket that are all compared with each other; in a larger one, so many of them at first lead the others, and
-# twice as many in each later round.
-FEW, LEADERS = 16, 8
+# four times as many in each later round, so that a bucket of S members takes about log4(S / 16) rounds.
+FEW, LEADERS, GROWTH = 16, 8, 4
 # The round after which what is left of large buckets is dealt out anew, if there is a way.
-REFINED = 2
+REFINED = 1
 
 
 def linked_roots(
@@ -50,7 +50,7 @@ def linked_roots(
         if placed.isEmpty():
             break
         few, many = placed.where(f"size <= {FEW}"), placed.where(f"size > {FEW}")
-        groups = LEADERS << n
+        groups = LEADERS * GROWTH**n
         by = F.explode(F.array(*(
             F.struct(F.lit(k).alias("kind"), F.pmod(F.xxhash64(c, F.lit(n)), F.lit(groups)).alias("group")) for k, c in enumerate(("node", "root"))
         )))
