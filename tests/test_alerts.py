@@ -8,6 +8,7 @@ import pytest
 
 from tariffscope.plans import history
 from tariffscope.sources.roles import PRICE_LOG
+from tariffscope.streaming import alerts
 from tariffscope.streaming.alerts import alert_stream, price_log_stream
 
 from conftest import role_frame, rows_of
@@ -78,3 +79,24 @@ def test_late_rows_open_days_and_thresholds(spark, catalogue, tmp_path):
     found = by_text(rows_of(spark.read.parquet(f"{root}/out")))
     whole = expected(spark, catalogue, first + again)
     assert found == [r for r in whole if r[6] is None or abs(r[6]) >= 5] and len(found) == 2
+
+
+def test_a_batch_that_runs_again_stores_nothing_twice(spark, tmp_path):
+    """As after a failure between storing the changes and noting that the batch is done."""
+    root = str(tmp_path)
+    prices = {0: 1.0, 10: 2.0, 20: 3.0, 60: 4.0}
+    arrive(spark, [snapshot(n, entity, None, day, price) for n, (day, price) in enumerate(prices.items()) for entity in (1, None)], f"{root}/in")
+    run(spark, root)
+    once = by_text(rows_of(spark.read.parquet(f"{root}/out")))
+    assert len(once) == 4
+    for commit in (tmp_path / "state" / "commits").iterdir():
+        commit.unlink()
+    run(spark, root)
+    assert by_text(rows_of(spark.read.parquet(f"{root}/out"))) == once
+
+
+def test_no_python_on_rows(spark):
+    """Before, every plan was a call of Python in each batch."""
+    rows = spark.createDataFrame([], "entity_id bigint, plan_name string, recorded_date date, price double")
+    plan = alerts.changes_between(rows, rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "__span" in plan
