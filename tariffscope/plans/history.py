@@ -20,6 +20,8 @@ from ..operators.timeline import as_of, last_per_time, with_neighbour
 from ..sources.catalogue import Catalogue
 
 PLAN = ["entity_id", "plan_name"]
+# So many dates are aggregates of one pass.
+FEW_DATES = 32
 
 
 def daily_prices(price_log: DataFrame) -> DataFrame:
@@ -79,10 +81,24 @@ def prices_at(c: Catalogue, asks: DataFrame, asked: str = "as_of") -> DataFrame:
 
 
 def prices_on_dates(c: Catalogue, dates: Sequence[date]) -> DataFrame:
-    """The price of every plan in the log on each of the ``dates``, as ``prices_at``."""
-    asks = c.price_log.select(*PLAN).distinct()
-    days = F.array(*(F.lit(d) for d in sorted(set(dates))))
-    return prices_at(c, asks.select("*", F.explode(days).alias("as_of")))
+    """The price of every plan in the log on each of the ``dates``, as ``prices_at``.
+
+    A few dates are a few aggregates over a plan's days, which need no sorting, no window and no join; more of them are asked like any others.
+    """
+    days = sorted(set(dates))
+    if not 0 < len(days) <= FEW_DATES:
+        asks = c.price_log.select(*PLAN).distinct()
+        return prices_at(c, asks.select("*", F.explode(F.array(*(F.lit(d) for d in days)).cast("array<date>")).alias("as_of")))
+    # Snapshots without a date make a row of their plan, which is in no date's aggregates.
+    daily = c.price_log.groupBy(*PLAN, "recorded_date").agg(F.max_by("price", "log_id").alias("price"))
+    found = []
+    for n, d in enumerate(days):
+        until = F.when(F.col("recorded_date") <= F.lit(d), F.col("recorded_date"))
+        found += [F.max_by("price", until).alias(f"price_{n}"), F.max(until).alias(f"day_{n}")]
+    each = F.array(
+        *(F.struct(F.lit(d).alias("as_of"), F.col(f"price_{n}").alias("price"), F.col(f"day_{n}").alias("recorded_date")) for n, d in enumerate(days))
+    )
+    return daily.groupBy(*PLAN).agg(*found).select(*PLAN, F.inline(each))
 
 
 def price_by_month(c: Catalogue) -> DataFrame:

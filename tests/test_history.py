@@ -142,3 +142,21 @@ def test_windows_hold_a_span_of_one_plan_and_days_are_combined_first(log):
     assert "partial_max_by(price" in plan and "Python" not in plan
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert any("__span" in w.split("],")[1] for w in windows)
+
+
+def test_prices_on_dates_is_two_aggregates(log):
+    """Few dates or many, the answer is that of asking; a few need neither window nor join."""
+    rows = snapshots(11) + [{"log_id": 999, "entity_id": 9, "plan_name": "Undated", "recorded_date": None, "price": 1.0}]
+    few = [DAY + datetime.timedelta(days=d) for d in (-1, 300, 700, 1600)]
+    plan = history.prices_on_dates(log(rows), few)._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Join", "Window", "Sort"))
+    known = daily(rows) | {(9, "Undated"): []}
+    for dates in (few, few + [DAY + datetime.timedelta(days=d) for d in range(history.FEW_DATES)]):
+        answers = []
+        for key, days in known.items():
+            for at in dates:
+                earlier = [(p, d) for d, p in days if d <= at]
+                answers.append((*key, at, *(earlier[-1] if earlier else (None, None))))
+        keys = {(r["entity_id"], r["plan_name"]) for r in rows}
+        answers += [(*key, at, None, None) for key in keys - set(known) for at in dates]
+        assert by_text(rows_of(history.prices_on_dates(log(rows), dates))) == by_text(answers)
