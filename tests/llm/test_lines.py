@@ -107,3 +107,15 @@ def test_lines_that_share_a_simhash_all_meet_others(spark):
     want = {k for k in range(36) if agree(sims[k], sims[1000 + k]) and (sims[k] ^ sims[1000 + k]).bit_count() <= lines.MOST_BITS}
     gone = {r.doc_id - 1000 for r in lines.without_repeats(frame).where("n_removed = 1").collect()}
     assert gone == want and len(want) > 20
+
+
+def test_lines_of_like_sizes_share_a_class_and_others_do_not(spark):
+    sizes = spark.range(20, 1500).select(lines._size_classes("id").alias("classes"), "id").collect()
+    classes = {r.id: set(r.classes) for r in sizes}
+    for a in classes:
+        assert 1 <= len(classes[a]) <= 2
+        for b in range(a - a // 20 - 1, a):
+            if b in classes and a - b <= int(0.05 * a + 1e-9):
+                assert classes[a] & classes[b], (a, b)
+    # Before, a line of 20 words and one of 40 could be candidates by chance.
+    assert not classes[100] & classes[200]

@@ -62,3 +62,20 @@ def test_no_link_is_lost_in_a_large_bucket(spark):
         roots = linked_roots(members.select("bucket", "node"), verify, Scratch(spark, "t"))
         found = roots.join(places, "node").select("id", "root").collect()
         assert sorted(r.id for r in found) == [k for k in range(size) if k % 10 != 9] and len({r.root for r in found}) == 1
+
+
+def test_members_alone_in_their_buckets_are_not_stored(spark):
+    """Before, each member's every bucket was stored and dealt out, though hardly any is shared."""
+    kept = {}
+
+    class Counted(Scratch):
+        def keep(self, df, name):
+            stored = super().keep(df, name)
+            kept[name] = stored.count()
+            return stored
+
+    members = spark.range(1000).select(F.col("id").alias("bucket"), F.col("id").alias("node"))
+    members = members.union(spark.createDataFrame([(1, 2), (5, 900)], "bucket long, node long"))
+    roots = linked_roots(members, lambda pairs: pairs, Counted(spark, "t"))
+    assert {r.node: r.root for r in roots.collect()} == {1: 1, 2: 1, 5: 5, 900: 5}
+    assert kept["shared"] == 2 and kept["labelled0"] == 4
