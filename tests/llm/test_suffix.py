@@ -74,3 +74,24 @@ def test_nothing_repeated_and_empty_table(spark):
     documents = spark.createDataFrame([(1, "x" * 100), (2, None)], "doc_id long, text string")
     assert sorted(tuple(r)[:4] for r in suffix.without_repeats(documents).collect()) == [(1, 100, 0, 0), (2, 0, 0, 0)]
     assert suffix.without_repeats(documents.limit(0)).count() == 0
+
+
+def test_few_rows_are_made_where_only_a_short_core_repeats(spark, monkeypatch):
+    """Before, every string around a repeated core was a row, though no 400 bytes occur twice."""
+    kept = {}
+
+    class Counted(suffix.Scratch):
+        def keep(self, df, name):
+            stored = super().keep(df, name)
+            kept[name] = stored.count()
+            return stored
+
+    monkeypatch.setattr(suffix, "Scratch", Counted)
+    draw = random.Random(21)
+    passage, whole = words(draw, 60)[:280], words(draw, 150)[: LENGTH + 1]
+    rows = [(k, words(draw, 100) + passage + words(draw, 100)) for k in range(60)]
+    rows += [(100 + k, words(draw, 70) + whole + words(draw, 70)) for k in range(2)]
+    out = suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), False).collect()
+    want = brute([t.encode() for _, t in rows])
+    assert sorted(tuple(r) for r in out) == sorted((i, *w[:4]) for (i, _), w in zip(rows, want))
+    assert kept["contexts"] >= 60 and sum(n for name, n in kept.items() if name.startswith("strings")) < 30 * kept["contexts"]
