@@ -119,3 +119,30 @@ def test_lines_of_like_sizes_share_a_class_and_others_do_not(spark):
                 assert classes[a] & classes[b], (a, b)
     # Before, a line of 20 words and one of 40 could be candidates by chance.
     assert not classes[100] & classes[200]
+
+
+def test_strings_are_compared_without_their_common_ends(spark):
+    """Before, distances were computed over whole lines."""
+    draw = random.Random(17)
+    pairs = [("", ""), ("a", "a"), ("aaaa" * 9, "aaaa" * 10), ("ü漢" * 30, "ü漢" * 14 + "x" + "ü漢" * 16)]
+    for _ in range(150):
+        a = [draw.choice("abü ") for _ in range(draw.choice((20, 63, 64, 300)))]
+        b = list(a)
+        for _ in range(draw.randint(0, 16)):
+            b[draw.randrange(len(b))] = draw.choice("abü漢x")
+        pairs.append(("".join(a), "".join(b[: draw.choice((len(b), len(b) - 2))])))
+    frame = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k long, x string, y string")
+    trimmed = {r.k: r.t for r in frame.select("k", lines._trimmed("x", "y").alias("t")).collect()}
+    found = {r.k for r in lines._alike(frame, "x", "y").collect()}
+    for k, (a, b) in enumerate(pairs):
+        assert distance(trimmed[k].a, trimmed[k].b) == distance(a, b)
+        assert (k in found) == (distance(a, b) <= int(0.05 * max(len(a), len(b)) + 1e-9))
+    long = "word " * 300
+    short = spark.createDataFrame([(long + "one" + long, long + "two" + long)], "x string, y string").select(lines._trimmed("x", "y").alias("t")).first().t
+    assert len(short.a) < 20
+
+
+def test_plain_and_other_letters_are_normalised_alike(spark):
+    rows = ["  A-b_c 1!", "Über  1½ 漢字, ok", "", "?!", "\tX y"]
+    got = spark.createDataFrame([(r,) for r in rows], "line string").select("line", lines.normalised("line").alias("n")).collect()
+    assert {r.line: r.n for r in got} == {"  A-b_c 1!": "a b c 1", "Über  1½ 漢字, ok": "über 1½ 漢字 ok", "": "", "?!": "", "\tX y": "x y"}
