@@ -1,6 +1,10 @@
+import contextlib
+import io
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tariffscope.llm import lines
 from tests.llm.test_links import roots_of
 
@@ -146,3 +150,63 @@ def test_plain_and_other_letters_are_normalised_alike(spark):
     rows = ["  A-b_c 1!", "Über  1½ 漢字, ok", "", "?!", "\tX y"]
     got = spark.createDataFrame([(r,) for r in rows], "line string").select("line", lines.normalised("line").alias("n")).collect()
     assert {r.line: r.n for r in got} == {"  A-b_c 1!": "a b c 1", "Über  1½ 漢字, ok": "über 1½ 漢字 ok", "": "", "?!": "", "\tX y": "x y"}
+
+
+def test_simhashes_run_in_compiled_code(spark):
+    """Before, a method of 14,820 bytes of code turned sums into bits; the JVM leaves methods above 8,000 uncompiled."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        shown = io.StringIO()
+        with contextlib.redirect_stdout(shown):
+            lines.simhashes(lines.lines_of(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown.getvalue())]
+    assert sizes and max(sizes) < 8000
+
+
+def test_bits_are_set_where_their_counter_is_over_half(spark):
+    draw = random.Random(31)
+    texts = ["ab", "ab cd", "ab cd efg", "a" * 300] + [" ".join("x" * draw.randint(1, 9) + str(draw.randrange(50)) for _ in range(n)) for n in (2, 7, 40, 900)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes = {r.word: r.h for r in frame.select(F.explode(F.split("text", " ")).alias("word")).distinct().select("word", F.xxhash64("word", F.lit(1)).alias("h")).collect()}
+    for r in lines.simhashes(lines.lines_of(frame)).collect():
+        words = texts[r.doc].split(" ")
+        n = sum(map(len, words))
+        want = sum(1 << bit for bit in range(63) if 2 * sum(len(w) for w in words if hashes[w] >> bit & 1) > n)
+        assert (r.sim, r.size) == (want, len(texts[r.doc]))
+
+
+def test_words_and_pieces_never_tell_less_than_the_distance(spark):
+    """Before, every pair was compared whole; now lines with words replaced, taken out or put in are mostly told by their parts."""
+    draw = random.Random(23)
+    word = lambda: "".join(draw.choice("abcdeü") for _ in range(draw.randint(1, 9)))
+    pairs = [("", ""), ("", "abc"), ("ab " * 40, "ab " * 41), ("a" * 200, "a" * 195 + "b")]
+    for _ in range(120):
+        a = [word() for _ in range(draw.choice((3, 20, 60)))]
+        b = list(a)
+        for _ in range(draw.randint(0, 5)):
+            at = draw.randrange(len(b))
+            b[at : at + draw.choice((0, 1, 1, 2))] = [word() for _ in range(draw.choice((0, 1, 1)))]
+            b = b or [word()]
+        pairs.append((" ".join(a), " ".join(b)))
+    most = 12
+    frame = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k long, x string, y string")
+    told = frame.select("k", lines._by_words("x", "y").alias("words"), lines._by_pieces(F.col("x"), F.col("y"), F.lit(most)).alias("pieces")).collect()
+    tight = 0
+    for r in told:
+        d = distance(*pairs[r.k])
+        assert r.words is None or r.words >= d
+        assert min(r.pieces, most + 1) >= min(d, most + 1)
+        tight += d <= most and r.pieces <= most
+    assert tight > 0.8 * sum(distance(*p) <= most for p in pairs)
+    found = {r.k for r in lines._alike(frame, "x", "y").collect()}
+    assert found == {k for k, (a, b) in enumerate(pairs) if distance(a, b) <= int(0.05 * max(len(a), len(b)) + 1e-9)}
+
+
+def test_texts_are_split_once_a_row(spark):
+    """Before, a text was split anew for each line that stays."""
+    out = lines.without_repeats(spark.createDataFrame([(1, "x\nsame line\ny"), (2, "same line\nz")], "doc_id long, text string"))
+    assert {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()} == {(1, "x\nsame line\ny", 3, 0), (2, "z", 2, 1)}
+    assert not re.search(r"lambdafunction\(split\(", out._jdf.queryExecution().optimizedPlan().toString())
