@@ -134,3 +134,48 @@ def test_large_buckets_are_thinned_without_losing_a_pair(spark):
     assert similar <= met and len(similar) > 100
     assert len(met) < 0.6 * len(rows) * (len(rows) - 1) / 2
     assert {n for nodes in buckets.values() if len(nodes) > 1 for n in nodes} < set(range(len(rows)))
+
+
+def documents_with(rows):
+    """In how many rows each shingle is, and how many rows have any."""
+    sets = [minhash.shingles(t)[0] for _, t in rows]
+    return np.unique(np.concatenate(sets), return_counts=True), sum(len(s) > 0 for s in sets)
+
+
+def test_every_shingle_has_its_own_document_frequency(spark, monkeypatch):
+    """Before, all shingles in at most 2% of the documents weighed alike."""
+    draw = random.Random(8)
+    passages = [" ".join(base_text(draw, 12)) for _ in range(30)]
+    rows = [(k, " ".join([*base_text(draw, 30), *draw.sample(passages, 2)])) for k in range(300)]
+    rows += rows[:5] + [(None, rows[7][1])] * 9 + [(1, None), (1, " \n"), (2, "one two")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    (hashes, numbers), n = documents_with(rows)
+    assert ((numbers > 1) & (numbers < 0.02 * n)).sum() > 100
+    want = 1 - np.log10(numbers / n)
+    for chunk, bucket in ((minhash.CHUNK, minhash.BUCKET), (2_000, 3_000)):  # one bucket, and many
+        monkeypatch.setattr(minhash, "CHUNK", chunk)
+        monkeypatch.setattr(minhash, "BUCKET", bucket)
+        assert np.allclose(minhash.learn_weights(frame).of(hashes, np.ones(len(hashes))), want)
+
+
+def test_a_passage_of_some_documents_makes_no_copies_of_them(spark):
+    """Five of 300 documents share most of their words, which real frequencies weigh too little for 0.8. Before, they were one class."""
+    draw = random.Random(18)
+    passage = " ".join(base_text(draw, 94))
+    rows = [(k, " ".join([passage, *base_text(draw, 10)])) for k in range(5)]
+    rows += [(k, " ".join(base_text(draw, 60))) for k in range(5, 299)]
+    rows += [(299, rows[200][1] + " more")]
+    got = {r.doc_id: (r.class_id, r.class_size) for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == (k, 1) for k in range(5))
+    assert got[299] == got[200] == (200, 2)
+
+
+def test_shingles_are_dealt_out_in_parts_and_answered_whole():
+    draw = np.random.Generator(np.random.PCG64(6))
+    hashes = np.sort(draw.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
+    assert (minhash._unpacked(minhash._packed(hashes)) == hashes).all()
+    found, sums = minhash._totals(np.concatenate([hashes, hashes[::2], hashes[:3]]), np.concatenate([np.ones(1500, np.int64), [5, 1, 2]]))
+    want = np.where(np.arange(1000) % 2 == 0, 2, 1)
+    want[:3] += [5, 1, 2]
+    assert (found == hashes).all() and (sums == want).all()
+    assert [len(x) for x in minhash._totals(np.zeros(0, np.uint64), np.zeros(0, np.int64))] == [0, 0]
